@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 from millrace.config import PAD, WORD_BYTES
 from millrace.functions.columns import whole_div
-from millrace.operators.ordered import ROWS_PER_RANGE, dense_index
+from millrace.operators.ordered import dense_index
 
 
-def order_shards(df: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def order_shards(df: DataFrame) -> DataFrame:
     """Shards with their 1-based ``rank`` by integer id, so that 10 comes after 2."""
-    ranked = dense_index(df, ["shard_id"], "rank", rows_per_range)
+    ranked = dense_index(df, ["shard_id"], "rank")
     return ranked.withColumn("rank", F.col("rank") + 1)
 
 
@@ -25,13 +25,13 @@ def next_shard(df: DataFrame, by: str) -> DataFrame:
 
 
 def assign_shards(
-    df: DataFrame, order: list[str], batch_size: int, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, order: list[str], batch_size: int
 ) -> DataFrame:
     """Number the rows in ``order`` and cut them into shards of ``batch_size`` consecutive rows.
 
     Adds ``sample_id`` (0, 1, 2, ...), ``shard_id`` and ``pos_in_shard``.
     """
-    numbered = dense_index(df, order, "sample_id", rows_per_range)
+    numbered = dense_index(df, order, "sample_id")
     return numbered.withColumns(
         {
             "shard_id": whole_div(F.col("sample_id"), batch_size),

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from millrace.config import PHASES, STATS_EVERY
 from millrace.functions.columns import ratio, whole_div
 from millrace.operators.ordered import (
-    ROWS_PER_RANGE,
     group_total,
     ordinal,
     previous,
     running_columns,
     running_sum,
 )
+from millrace.session import stage
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -86,7 +86,7 @@ def final_loss_acc(totals: DataFrame) -> DataFrame:
 
 
 def phase_distribution(
-    log: DataFrame, by: list[str], rows_per_range: int = ROWS_PER_RANGE, approx: bool = False
+    log: DataFrame, by: list[str], approx: bool = False
 ) -> DataFrame:
     """n, min, median, mean, 95th percentile and max of ``ms`` per group, exact.
 
@@ -104,15 +104,15 @@ def phase_distribution(
             F.percentile_approx("ms", 0.95).alias("p95_ms"),
             F.max("ms").alias("max_ms"),
         )
-    values = log.where(F.col("ms").isNotNull()).groupBy(*by, "ms").agg(
+    counted = log.where(F.col("ms").isNotNull()).groupBy(*by, "ms").agg(
         F.count(F.lit(1)).alias("times")
     )
+    values = stage(counted, "phase-values")
     ranked = running_columns(
         values,
         by,
         ["ms"],
         {"upto": running_sum(F.col("times")), "n": group_total(F.col("times"))},
-        rows_per_range,
     )
 
     def at(index: Column) -> Column:
@@ -154,7 +154,6 @@ def rate_every_k(
     order: list[str],
     k: int = STATS_EVERY,
     start_us: int = 0,
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Bytes and batches per second of every full group of ``k`` consecutive batches of a stream.
 
@@ -165,7 +164,6 @@ def rate_every_k(
         [stream],
         order,
         {"pos": ordinal(), "before_us": previous(F.col("ts_us"))},
-        rows_per_range,
     ).withColumn("before_us", F.coalesce("before_us", F.lit(start_us).cast("bigint")))
     groups = numbered.groupBy(stream, whole_div(F.col("pos") - 1, k).alias("grp")).agg(
         F.count(F.lit(1)).alias("batches"),

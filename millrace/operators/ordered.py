@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+# Rows of a range, unless the session sets ROWS_SETTING; more where MAX_RANGES would be passed.
 ROWS_PER_RANGE = 100_000
+ROWS_SETTING = "spark.millrace.rowsPerRange"
 MAX_RANGES = 20_000
 KEYS_PER_RANGE = 20
 RANGE = "_range"
@@ -70,9 +72,7 @@ def _range_of(key: Column, cuts: Column, n_cuts: int) -> Column:
     )
 
 
-def with_range(
-    df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE
-) -> tuple[DataFrame, int]:
+def with_range(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """``df`` with the number of its key range, and how many ranges there are.
 
     Two passes over the key columns only: a count, and a sample of about ``KEYS_PER_RANGE`` keys per
@@ -81,6 +81,7 @@ def with_range(
     """
     narrow = df.select(*keys)
     total = narrow.count()
+    rows_per_range = int(df.sparkSession.conf.get(ROWS_SETTING, str(ROWS_PER_RANGE)))
     ranges = min(MAX_RANGES, math.ceil(total / rows_per_range))
     if ranges <= 1:
         return df.withColumn(RANGE, F.lit(0)), 1
@@ -159,10 +160,9 @@ def running_columns(
     group: list[str],
     order: list[str],
     outputs: dict[str, Running],
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """``df`` with running values over each group in order; see the module text."""
-    ranged, ranges = with_range(df, [*group, *order], rows_per_range)
+    ranged, ranges = with_range(df, [*group, *order])
     inputs = {f"_in_{name}": out.value for name, out in outputs.items()}
     ranged = ranged.withColumns(inputs)
 
@@ -228,8 +228,8 @@ def running_columns(
 
 
 def dense_index(
-    df: DataFrame, order: list[str], name: str = "idx", rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, order: list[str], name: str = "idx"
 ) -> DataFrame:
     """``df`` with a gapless 0-based number over the whole table in ``order``."""
-    numbered = running_columns(df, [], order, {name: ordinal()}, rows_per_range)
+    numbered = running_columns(df, [], order, {name: ordinal()})
     return numbered.withColumn(name, F.col(name) - 1)

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from millrace.config import CAP_BYTES
 from millrace.operators.ordered import (
     RANGE,
-    ROWS_PER_RANGE,
     carried,
     earlier,
     join_carried,
@@ -31,22 +30,21 @@ def publish_gap(
     stream: str,
     order: list[str],
     start_us: int = 0,
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """``gap_us`` since the publish before; the first counts from ``start_us``."""
     before = running_columns(
-        log, [stream], order, {"_before": previous(F.col("ts_us"))}, rows_per_range
+        log, [stream], order, {"_before": previous(F.col("ts_us"))}
     )
     start = F.coalesce("_before", F.lit(start_us).cast("bigint"))
     return before.withColumn("gap_us", F.col("ts_us") - start).drop("_before")
 
 
 def elapsed(
-    log: DataFrame, stream: str, order: list[str], rows_per_range: int = ROWS_PER_RANGE
+    log: DataFrame, stream: str, order: list[str]
 ) -> DataFrame:
     """``elapsed_us`` since the first row of the stream."""
     first = running_columns(
-        log, [stream], order, {"_first_us": running_min(F.col("ts_us"))}, rows_per_range
+        log, [stream], order, {"_first_us": running_min(F.col("ts_us"))}
     )
     return first.withColumn("elapsed_us", F.col("ts_us") - F.col("_first_us")).drop("_first_us")
 
@@ -56,22 +54,21 @@ def running_totals(
     stream: str,
     order: list[str],
     columns: list[str],
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """``total_<c>`` for each column: its sum up to and including the row."""
     outputs = {f"total_{c}": running_sum(F.col(c)) for c in columns}
-    return running_columns(log, [stream], order, outputs, rows_per_range)
+    return running_columns(log, [stream], order, outputs)
 
 
 def shard_ordinal(
-    log: DataFrame, stream: str, order: list[str], rows_per_range: int = ROWS_PER_RANGE
+    log: DataFrame, stream: str, order: list[str]
 ) -> DataFrame:
     """1-based arrival number, independent of the id in the file name."""
-    return running_columns(log, [stream], order, {"ordinal": ordinal()}, rows_per_range)
+    return running_columns(log, [stream], order, {"ordinal": ordinal()})
 
 
 def starvation(
-    arrivals: DataFrame, stream: str, order: list[str], rows_per_range: int = ROWS_PER_RANGE
+    arrivals: DataFrame, stream: str, order: list[str]
 ) -> DataFrame:
     """When a one-at-a-time consumer starts and finishes each shard, and how long it sat idle.
 
@@ -81,7 +78,7 @@ def starvation(
     (idle before the shard; the first counts from ``start of stream`` = 0 idle) and ``queue_us``
     (how long the shard lay there).
     """
-    ranged, ranges = with_range(arrivals, [stream, *order], rows_per_range)
+    ranged, ranges = with_range(arrivals, [stream, *order])
     rows = Window.partitionBy(RANGE, stream).orderBy(*order)
     here = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
@@ -138,11 +135,11 @@ def starvation_ratio(served: DataFrame, stream: str) -> DataFrame:
 
 
 def consumer_wait(
-    log: DataFrame, stream: str, order: list[str], rows_per_range: int = ROWS_PER_RANGE
+    log: DataFrame, stream: str, order: list[str]
 ) -> DataFrame:
     """``wait_us`` from finishing one shard to starting the next, out of logged starts and finishes."""
     before = running_columns(
-        log, [stream], order, {"_before": previous(F.col("finish_us"))}, rows_per_range
+        log, [stream], order, {"_before": previous(F.col("finish_us"))}
     )
     wait = F.coalesce(F.col("start_us") - F.col("_before"), F.lit(0).cast("bigint"))
     return before.withColumn("wait_us", wait).drop("_before")
@@ -158,7 +155,6 @@ def backlog(
     published: DataFrame,
     retired: DataFrame,
     stream: str,
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Shards and bytes outstanding at each instant of a stream.
 
@@ -177,7 +173,6 @@ def backlog(
             "items": running_sum(F.col("delta").cast("bigint")),
             "bytes_held": running_sum(F.col("bytes")),
         },
-        rows_per_range,
     )
 
 
@@ -192,14 +187,13 @@ def lookahead_audit(
     stream: str,
     order: list[str],
     lookahead: int,
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Marks shards published before the one ``lookahead`` places earlier was gone.
 
     ``log`` has ``publish_us`` and ``retire_us`` (null while a shard is still there). 0 means no limit.
     The earlier shard is found by an equi-join on its place in the stream, which is unique.
     """
-    placed = running_columns(log, [stream], order, {"place": ordinal()}, rows_per_range)
+    placed = running_columns(log, [stream], order, {"place": ordinal()})
     if lookahead == 0:
         return placed.withColumn("violation", F.lit(False))
     freed = placed.select(

@@ -21,6 +21,7 @@ from millrace.plans.registry import (
     query,
 )
 from millrace.plans.shaping import r6
+from millrace.session import stage
 from millrace.sources.synth import with_stall
 
 PHASE_MS = [f"{p}_ms" for p in PHASES]
@@ -296,6 +297,11 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.starvation(inputs.arrivals(spark, sf_dir), "stream", STREAM_ORDER)
 
 
+def served_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stored log, for operators that pass over it more than once."""
+    return stage(served(spark, sf_dir), "served")
+
+
 @query(
     "starvation",
     f"WITH {SERVED} SELECT stream, event_id, start_us, finish_us, wait_us, queue_us FROM served",
@@ -325,7 +331,7 @@ def starvation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(PARTITION BY stream ORDER BY ts_us, event_id), 0) AS wait_us FROM served",
 )
 def consumer_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = served(spark, sf_dir).select("stream", *STREAM_ORDER, "start_us", "finish_us")
+    log = served_log(spark, sf_dir).select("stream", *STREAM_ORDER, "start_us", "finish_us")
     waits = timeline.consumer_wait(log, "stream", STREAM_ORDER)
     return waits.select("stream", "event_id", "wait_us")
 
@@ -347,7 +353,7 @@ def unaccounted_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = served(spark, sf_dir)
+    log = served_log(spark, sf_dir)
     published = log.select("stream", "shard_id", "ts_us", "bytes")
     retired = log.select("stream", "shard_id", F.col("finish_us").alias("ts_us"), "bytes")
     return timeline.backlog(published, retired, "stream")
@@ -377,7 +383,7 @@ def backlog_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(PARTITION BY stream ORDER BY ts_us, event_id), false) AS violation FROM served",
 )
 def lookahead_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = served(spark, sf_dir).select(
+    log = served_log(spark, sf_dir).select(
         "stream",
         *STREAM_ORDER,
         F.col("ts_us").alias("publish_us"),

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import FeedConfig
-from millrace.functions.columns import fixed_rows, token_ids, whole_div
+from millrace.functions.columns import fixed_rows, token_ids
 from millrace.operators.batching import assign_shards
 from millrace.operators.joins import label_join
-from millrace.session import stage
+from millrace.session import spread, stage
 
 CONFIG = FeedConfig()
 RUN_START = "2024-01-01"
@@ -26,9 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text``, spread over the cores because every text is about to be cut into tokens."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("y"))
-    return label_join(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, "doc_id")
+    return label_join(documents(spark, sf_dir), labels, "doc_id")
 
 
 def doc_rows(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG) -> DataFrame:
@@ -186,7 +191,3 @@ def fixed_weights(vocab: int):
         return (digits.cast("bigint") % 2001 - 1000) / 1024.0
 
     return weight
-
-
-def whole_blocks(idx, k: int):
-    return whole_div(idx, k)

@@ -154,8 +154,7 @@ def clamp_labels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
 )
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.table(spark, sf_dir, "documents")
-    tokens = docs.select("doc_id", token_ids(F.col("text")).alias("x"))
+    tokens = inputs.documents(spark, sf_dir).select("doc_id", token_ids(F.col("text")).alias("x"))
     return tokens.select(
         "doc_id",
         F.size("x").cast("bigint").alias("n_tokens"),

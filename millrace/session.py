@@ -59,6 +59,15 @@ def stage(df: DataFrame, purpose: str = "staged") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a table scan over all cores where its files give fewer tasks than there are cores.
+
+    For scans in front of costly row work. A table of many files is passed on as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def local_path(path: str) -> str:
     """Plain path of a ``file:`` URI; other schemes pass unchanged."""
     if path.startswith("file:"):

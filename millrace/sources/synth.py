@@ -29,9 +29,17 @@ def uniform_samples(rows: DataFrame, config: FeedConfig, seed: int) -> DataFrame
 
 
 def rows_of(manifest: DataFrame, n: str = "n_samples") -> DataFrame:
-    """One row per sample slot of each shard of a manifest."""
+    """One row per sample slot of each shard of a manifest, spread for the work of filling them.
+
+    A manifest is small, so its rows tend to meet in few tasks; the slots they stand for are many.
+    """
     slots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("pos_in_shard")
-    return manifest.where(F.col(n) > 0).select("shard_id", slots)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        manifest.where(F.col(n) > 0)
+        .select("shard_id", slots)
+        .repartition(tasks, "shard_id", "pos_in_shard")
+    )
 
 
 def synth_uniform(
