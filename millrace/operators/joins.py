@@ -85,8 +85,7 @@ def embedding_lookup(
         # The salt depends on the row alone, so a task that runs again gives the same one.
         rest = [c for c in tokens.columns if c != "token"]
         salted = tokens.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(hot_ways)))
-        copies = vectors.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(hot_ways - 1))).cast("bigint")
-        )
+        ways = F.sequence(F.lit(0).cast("bigint"), F.lit(hot_ways - 1).cast("bigint"))
+        copies = vectors.withColumn("_salt", F.explode(ways))
         joined = salted.join(copies, ["token", "_salt"], "left").drop("_salt")
     return joined.withColumn("vec", F.coalesce("vec", zeros))

@@ -17,7 +17,7 @@ from millrace.plans.shaping import SAMPLE_SUMS_SQL, r6, sample_sums
 from millrace.session import fresh_dir
 from millrace.sinks.log import append_log
 from millrace.sinks.publish import end_of_stream, publish_raw_shards, publish_shards
-from millrace.sources.raw import read_raw_shards, shape_raw
+from millrace.sources.raw import list_files, read_raw_shards, shape_raw
 from millrace.sources.typed import read_shards
 from millrace.streaming.feed import (
     drain_shards,
@@ -120,8 +120,8 @@ def stream_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards are deleted once logged; nothing is left in the end."""
     shards, log = _drained(spark, sf_dir, IN_FLIGHT, retire=True)
     sweep(spark, shards, log)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(shards)
-    left = files.where(F.col("path").contains("shard_id=")).select("path").count()
+    files = list_files(spark, shards, recursive=True)
+    left = files.where(F.col("name").endswith(".parquet")).count()
     return log.select(*LOG_COLUMNS, F.lit(left).cast("bigint").alias("files_left"))
 
 

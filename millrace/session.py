@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # A table whose plan size is at most this many bytes may be broadcast.
@@ -73,3 +74,8 @@ def local_path(path: str) -> str:
     if path.startswith("file:"):
         return "/" + path[len("file:"):].lstrip("/")
     return path if "://" in path else os.path.abspath(path)
+
+
+def file_store(path: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path and the path on it, usable on the driver and in tasks."""
+    return fs.FileSystem.from_uri(local_path(path))

@@ -10,17 +10,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.config import DONE_NAME, SHARD_GLOB
-from millrace.functions.columns import is_leftover
+from millrace.config import DONE_NAME
+from millrace.functions.columns import is_leftover, is_publishable
 from millrace.operators.batching import pack_shards
-from millrace.session import local_path
+from millrace.session import file_store
 from millrace.sources.raw import list_files
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(local_path(path))
-
-
 def publish_shards(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Typed shards, one folder and one file per shard, committed by rename.
 
@@ -39,7 +35,7 @@ def publish_shards(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 def _raw_writer(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(path)
+        store, root = file_store(path)
         store.create_dir(root, recursive=True)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -84,7 +80,7 @@ def publishable_now(
 
 def end_of_stream(path: str) -> None:
     """Empty end marker, written after the last shard."""
-    store, root = _store(path)
+    store, root = file_store(path)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/{DONE_NAME}"):
         pass
@@ -92,12 +88,11 @@ def end_of_stream(path: str) -> None:
 
 def stream_ended(spark: SparkSession, path: str) -> bool:
     """True once the marker is there and no shard is left; the marker is then taken away."""
-    store, root = _store(path)
+    store, root = file_store(path)
     done = f"{root}/{DONE_NAME}"
     if store.get_file_info(done).type == fs.FileType.NotFound:
         return False
-    left = spark.read.format("binaryFile").option("pathGlobFilter", SHARD_GLOB).load(path)
-    if not left.select("path").isEmpty():
+    if not list_files(spark, path).where(is_publishable(F.col("name"))).isEmpty():
         return False
     store.delete_file(done)
     return True
@@ -107,7 +102,7 @@ def _deleter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gone = 0
         for path in batch.column("path").to_pylist():
-            store, name = _store(path)
+            store, name = file_store(path)
             # Missing is fine: the task may have run before.
             if store.get_file_info(name).type != fs.FileType.NotFound:
                 store.delete_file(name)
@@ -133,12 +128,10 @@ def retire_consumed(spark: SparkSession, path: str, consumed: DataFrame) -> int:
 
     Works on raw folders and on typed ones, where the shard number is in the folder's name.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path")
+    files = list_files(spark, path, recursive=True)
+    folder = F.regexp_extract("path", r"/shard_id=(\d+)/[^/]*\.parquet$", 1)
+    number = F.when(folder != "", folder.cast("bigint")).when(
+        is_publishable(F.col("name")), F.col("shard_id")
     )
-    number = F.regexp_extract("path", r"shard_(?:id=)?(\d+)", 1)
-    shards = files.where(number != "").withColumn("shard_id", number.cast("bigint"))
+    shards = files.select("path", number.alias("shard_id"))
     return delete_files(shards.join(consumed.select("shard_id").distinct(), "shard_id", "left_semi"))

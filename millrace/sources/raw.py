@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +18,40 @@ from millrace.functions.columns import (
     reshape_words,
     shard_index,
 )
+from millrace.session import file_store
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, name, shard_id, length`` of every file in a folder. Contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), shard_index(name).alias("shard_id"), "length")
+def _lister(recursive: bool):
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                store, root = file_store(folder)
+                for info in store.get_file_info(fs.FileSelector(root, recursive=recursive)):
+                    if info.type == fs.FileType.File:
+                        yield pa.RecordBatch.from_pydict(
+                            {"folder": [folder], "file": [info.path], "length": [info.size]}
+                        )
+
+    return names
+
+
+def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """``path, name, shard_id, length`` of every file in a folder, empty ones such as the end marker too.
+
+    Spark's own file sources leave empty files out. No content is read.
+    """
+    folders = spark.createDataFrame([(path,)], "folder string")
+    files = folders.mapInArrow(_lister(recursive), "folder string, file string, length bigint")
+    name = F.element_at(F.split("file", "/"), -1)
+    return files.select(
+        F.col("file").alias("path"), name.alias("name"), shard_index(name).alias("shard_id"), "length"
+    )
+
+
+def empty_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Finished shard files without content, which no reader sees, as rejects."""
+    files = list_files(spark, path).where(is_publishable(F.col("name")) & (F.col("length") == 0))
+    return files.select("shard_id", "length", F.lit("empty").alias("reason"))
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
