@@ -12,6 +12,7 @@ PAD = 0
 BATCH_SIZE = 64
 WORD_BYTES = 8
 CAP_BYTES = 2 * 1024 * 1024
+CAP_ITEMS = CAP_BYTES // 1024
 STALL_S = 0.1
 STATS_EVERY = 10
 LEARNING_RATE = 1e-3

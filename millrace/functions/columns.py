@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def whole_div(value: Column, divisor: Column | int) -> Column:
     return F.call_function("div", value, divisor)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, for uses that would repeat it per array element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # -- shard names ----------------------------------------------------------------------------------
 
 def shard_index(path: Column) -> Column:

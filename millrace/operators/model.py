@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.config import LEARNING_RATE, FeedConfig
+from millrace.functions.columns import clamp_tokens
 from millrace.operators.batching import minibatches, shuffle_within_shard
 from millrace.schemas import MODEL_STATE, SHARD_LOG
 from millrace.session import BROADCAST_BYTES
@@ -32,7 +33,13 @@ def zero_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MODEL_STATE)
 
 
+def _ids(config: FeedConfig) -> Column:
+    """Bias and tokens of a sample. The clamp is what bounds the state to ``vocab + 1`` rows."""
+    return F.concat(F.array(F.lit(BIAS).cast("bigint")), clamp_tokens(F.col("x"), config.vocab))
+
+
 def _small(config: FeedConfig) -> bool:
+    """Whether a state of all possible tokens may be broadcast."""
     return (config.vocab + 1) * (3 * 8 * config.classes + 64) <= BROADCAST_BYTES
 
 
@@ -44,8 +51,7 @@ def score(samples: DataFrame, state: DataFrame, config: FeedConfig) -> DataFrame
     weights = state.where(F.col("token") != config.pad).select("token", "w")
     if _small(config):
         weights = F.broadcast(weights)
-    ids = F.concat(F.array(F.lit(BIAS).cast("bigint")), F.col("x"))
-    tokens = samples.select("sample_id", "y", F.explode(ids).alias("token"))
+    tokens = samples.select("sample_id", "y", F.explode(_ids(config)).alias("token"))
     sums = [
         F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"z{k}")
         for k in range(config.classes)
@@ -110,11 +116,10 @@ def gradient(
         for k in range(config.classes)
     ]
     errors = scored.select("sample_id", *error)
-    ids = F.concat(F.array(F.lit(BIAS).cast("bigint")), F.col("x"))
     pulls = (
         samples.select("sample_id", "x")
         .join(errors, "sample_id")
-        .select(F.explode(ids).alias("token"), *[f"e{k}" for k in range(config.classes)])
+        .select(F.explode(_ids(config)).alias("token"), *[f"e{k}" for k in range(config.classes)])
         .where(F.col("token") != config.pad)
     )
     sums = pulls.groupBy("token").agg(
@@ -239,15 +244,12 @@ def fit_classifier(samples: DataFrame, config: FeedConfig, iterations: int = 20)
     words = samples.select(
         "sample_id",
         F.col("y").cast("double").alias("label"),
-        F.transform(
-            F.filter("x", lambda t: t != config.pad), lambda t: t.cast("string")
-        ).alias("words"),
+        F.transform(F.filter("x", lambda t: t != config.pad), lambda t: t.cast("string")).alias("words"),
     )
-    pipeline = Pipeline(
-        stages=[
-            HashingTF(inputCol="words", outputCol="features", numFeatures=config.vocab),
-            LogisticRegression(maxIter=iterations, regParam=0.01),
-        ]
+    # The vocabulary is all ids there can be, so nothing has to be counted to build it.
+    counts = CountVectorizerModel.from_vocabulary(
+        [str(t) for t in range(config.vocab)], inputCol="words", outputCol="features"
     )
+    pipeline = Pipeline(stages=[counts, LogisticRegression(maxIter=iterations, regParam=0.01)])
     fitted = pipeline.fit(words)
     return fitted, fitted.transform(words)

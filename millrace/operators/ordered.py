@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.columns import once
+
 # Rows of a range, unless the session sets ROWS_SETTING; more where MAX_RANGES would be passed.
 ROWS_PER_RANGE = 100_000
 ROWS_SETTING = "spark.millrace.rowsPerRange"
@@ -65,11 +67,16 @@ def group_total(value: Column) -> Running:
 def _range_of(key: Column, cuts: Column, n_cuts: int) -> Column:
     """How many of the sorted cut keys are not above ``key``, found by halving steps."""
     steps = [1 << bit for bit in reversed(range(n_cuts.bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(step) for step in steps]),
-        F.lit(0),
-        lambda low, step: F.when(key >= F.get(cuts, low + step - 1), low + step).otherwise(low),
-    )
+    halving = F.array(*[F.lit(step) for step in steps])
+
+    def search(k: Column) -> Column:
+        return F.aggregate(
+            halving,
+            F.lit(0),
+            lambda low, step: F.when(k >= F.get(cuts, low + step - 1), low + step).otherwise(low),
+        )
+
+    return once(key, search)
 
 
 def with_range(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.config import CAP_BYTES
+from millrace.config import CAP_BYTES, CAP_ITEMS
 from millrace.operators.ordered import (
     RANGE,
     carried,
@@ -215,13 +215,12 @@ def least_lookahead(held: DataFrame, stream: str) -> DataFrame:
     return held.groupBy(stream).agg(F.max("items").alias("least_lookahead"))
 
 
-def capacity_audit(held: DataFrame, cap: int = CAP_BYTES) -> DataFrame:
+def capacity_audit(held: DataFrame, cap: int = CAP_BYTES, items: int = CAP_ITEMS) -> DataFrame:
     """Publishes only, with the bytes held before each and whether it fits.
 
-    A batch fits when the free space is strictly greater than its size.
+    A batch fits when the free bytes are strictly more than its size and more than one place is free.
     """
-    publishes = held.where(F.col("delta") == 1)
-    before = F.col("bytes_held") - F.col("bytes")
-    return publishes.withColumn("held_before", before).withColumn(
-        "fits", F.lit(cap) - F.col("held_before") > F.col("bytes")
-    )
+    before = held.where(F.col("delta") == 1).withColumn("held_before", F.col("bytes_held") - F.col("bytes"))
+    room = F.lit(cap) - F.col("held_before") > F.col("bytes")
+    place = F.lit(items) - (F.col("items") - 1) > 1
+    return before.withColumn("fits", room & place)

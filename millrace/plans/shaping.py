@@ -34,6 +34,7 @@ from millrace.operators.batching import (
 from millrace.operators.joins import unlabelled
 from millrace.plans import inputs
 from millrace.plans.registry import ARRIVALS, DOC_SAMPLES, LINES, LISTING, query
+from millrace.session import stage
 from millrace.sources.synth import fill_batches, rows_of, stalled_samples, uniform_samples
 
 FILL_ROWS, FILL_LEN = 4, 15
@@ -269,7 +270,8 @@ def assign_shards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shard_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = inputs.listing(spark, sf_dir).where(is_publishable(F.col("name")))
-    return order_shards(files.select("name", shard_index(F.col("name")).alias("shard_id")))
+    named = files.select("name", shard_index(F.col("name")).alias("shard_id"))
+    return order_shards(stage(named, "names"))
 
 
 @query(

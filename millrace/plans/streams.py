@@ -10,25 +10,35 @@ from pyspark.sql import functions as F
 
 from millrace.config import FeedConfig
 from millrace.operators.batching import order_shards, unpack_shards
+from millrace.operators.joins import pending_shards
 from millrace.plans import inputs
 from millrace.plans.inputs import CONFIG, phase_log_of
 from millrace.plans.registry import DOC_SAMPLES, PHASE_LOG, query
 from millrace.plans.shaping import SAMPLE_SUMS_SQL, r6, sample_sums
-from millrace.session import fresh_dir
+from millrace.session import fresh_dir, stage
 from millrace.sinks.log import append_log
-from millrace.sinks.publish import end_of_stream, publish_raw_shards, publish_shards
-from millrace.sources.raw import list_files, read_raw_shards, shape_raw
+from millrace.sinks.publish import (
+    end_of_stream,
+    make_folder,
+    publish_raw_shards,
+    publish_shards,
+    publishable_now,
+    retire_consumed,
+)
+from millrace.sources.raw import list_files, read_raw_shards, shape_raw, stream_raw_shards
 from millrace.sources.typed import read_shards
 from millrace.streaming.feed import (
     drain_shards,
     keep_metrics,
     phase_metrics,
+    run_stream,
     shard_log_handler,
     sweep,
     training_handler,
 )
 
 IN_FLIGHT = 4
+RAW_IN_FLIGHT = 16
 STREAM_CONFIG = FeedConfig(batch_size=256)
 FEED_LOG = "shard_id bigint, n bigint, bytes bigint, token_sum bigint, n_pos bigint, run_id string, batch_id bigint"
 
@@ -43,7 +53,7 @@ def published(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG) ->
 def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published as raw words, read back, shaped and unpacked."""
     path = fresh_dir(spark, "raw")
-    publish_raw_shards(inputs.doc_shards(spark, sf_dir), path).count()
+    publish_raw_shards(inputs.doc_shards(spark, sf_dir), path)
     end_of_stream(path)
     packed, _ = shape_raw(read_raw_shards(spark, path), CONFIG)
     return sample_sums(unpack_shards(packed))
@@ -125,6 +135,54 @@ def stream_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select(*LOG_COLUMNS, F.lit(left).cast("bigint").alias("files_left"))
 
 
+@query("stream_raw", SAMPLE_SUMS_SQL)
+def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw shard files read as a stream, shaped and unpacked in each micro-batch."""
+    path, run_dir = fresh_dir(spark, "raw"), fresh_dir(spark, "feed")
+    publish_raw_shards(inputs.doc_shards(spark, sf_dir), path)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        packed, _ = shape_raw(batch, CONFIG)
+        append_log(unpack_shards(packed), f"{run_dir}/samples", "run", batch_id)
+
+    stream = stream_raw_shards(spark, path, RAW_IN_FLIGHT)
+    run_stream(stream, handle, f"{run_dir}/checkpoint").awaitTermination()
+    schema = "shard_id bigint, pos_in_shard bigint, x array<bigint>, y bigint"
+    return sample_sums(spark.read.schema(schema).parquet(f"{run_dir}/samples"))
+
+
+@query("stream_lookahead", _log_sql(256, f", s.shard_id // {IN_FLIGHT} AS wave"))
+def stream_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A publisher that may be at most ``IN_FLIGHT`` shards ahead of its consumer.
+
+    Each wave publishes what the bound allows, and the consumer takes and deletes it.
+    """
+    samples = stage(inputs.doc_shards(spark, sf_dir, STREAM_CONFIG), "to-publish")
+    path, run_dir = fresh_dir(spark, "raw"), fresh_dir(spark, "feed")
+    manifest = stage(samples.select("shard_id").distinct(), "manifest")
+    log_schema = "shard_id bigint, n bigint, bytes bigint, token_sum bigint, n_pos bigint, batch_id bigint"
+    log_path, wave = f"{run_dir}/log", 0
+    make_folder(path)
+    log_shards = shard_log_handler(log_path, "run")
+    append_log(spark.createDataFrame([], log_schema).drop("batch_id"), log_path, "run", -1)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        packed, _ = shape_raw(batch, STREAM_CONFIG)
+        log_shards(unpack_shards(packed), wave)
+
+    while True:
+        log = spark.read.schema(log_schema).parquet(log_path)
+        pending = pending_shards(manifest, log, ["shard_id"])
+        present = list_files(spark, path).where(F.col("shard_id").isNotNull())
+        now = publishable_now(pending, present, IN_FLIGHT)
+        if publish_raw_shards(samples.join(now, "shard_id", "left_semi"), path).isEmpty():
+            return log.select(*LOG_COLUMNS, F.col("batch_id").alias("wave"))
+        stream = stream_raw_shards(spark, path)
+        run_stream(stream, handle, f"{run_dir}/checkpoint").awaitTermination()
+        retire_consumed(spark, path, spark.read.schema(log_schema).parquet(log_path))
+        wave += 1
+
+
 @query("stream_train")
 def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training fed by the stream, one shard per micro-batch: the shard log.

@@ -24,6 +24,15 @@ PACKED_SHARD = T.StructType(
     ]
 )
 
+BINARY_FILE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
+
 RAW_SHARD = T.StructType(
     [
         T.StructField("shard_id", T.LongType()),

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import DONE_NAME
 from millrace.functions.columns import is_leftover, is_publishable
 from millrace.operators.batching import pack_shards
-from millrace.session import file_store
+from millrace.session import file_store, stage
 from millrace.sources.raw import list_files
 
 
@@ -37,20 +38,20 @@ def _raw_writer(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = file_store(path)
         store.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = batch.column("shard_id")[i].as_py()
                 x = batch.column("x").slice(i, 1).flatten().flatten().to_numpy(zero_copy_only=False)
                 y = batch.column("y").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
                 words = np.concatenate([x, y]).astype("<i8")
+                # Attempts of a task do not share a temporary name, and each ends in the same final file.
                 final = f"{root}/shard_{shard}.pt"
-                # A task that runs again writes the same bytes under the same names.
-                with store.open_output_stream(final + ".tmp") as out:
+                temporary = f"{root}/shard_{shard}.{attempt}.pt.tmp"
+                with store.open_output_stream(temporary) as out:
                     out.write(words.tobytes())
-                store.move(final + ".tmp", final)
-                yield pa.RecordBatch.from_pydict(
-                    {"shard_id": pa.array([shard], pa.int64()), "bytes": pa.array([words.nbytes], pa.int64())}
-                )
+                store.move(temporary, final)
+                yield pa.RecordBatch.from_pydict({"shard_id": [shard], "bytes": [words.nbytes]})
 
     return write
 
@@ -58,14 +59,13 @@ def _raw_writer(path: str):
 def publish_raw_shards(df: DataFrame, path: str) -> DataFrame:
     """Raw shard files, rows first and then labels; each is renamed into place by the task that wrote it.
 
-    Returns the lazy publish log ``shard_id, bytes``; writing or counting it does the work.
+    Returns the stored publish log ``shard_id, bytes``.
     """
-    return pack_shards(df).mapInArrow(_raw_writer(path), "shard_id bigint, bytes bigint")
+    written = pack_shards(df).mapInArrow(_raw_writer(path), "shard_id bigint, bytes bigint")
+    return stage(written, "publish-log")
 
 
-def publishable_now(
-    pending: DataFrame, present: DataFrame, lookahead: int
-) -> DataFrame:
+def publishable_now(pending: DataFrame, present: DataFrame, lookahead: int) -> DataFrame:
     """Pending shards that may appear: shard ``i`` only once shard ``i - lookahead`` is gone.
 
     A shard that is still to come counts as not gone, so at most ``lookahead`` shards can be there at
@@ -78,10 +78,16 @@ def publishable_now(
     return pending.join(blocking, "shard_id", "left_anti")
 
 
+def make_folder(path: str) -> None:
+    """Create a shard folder, so that a reader may be started before the first shard is there."""
+    store, root = file_store(path)
+    store.create_dir(root, recursive=True)
+
+
 def end_of_stream(path: str) -> None:
     """Empty end marker, written after the last shard."""
+    make_folder(path)
     store, root = file_store(path)
-    store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/{DONE_NAME}"):
         pass
 

@@ -18,6 +18,7 @@ from millrace.functions.columns import (
     reshape_words,
     shard_index,
 )
+from millrace.schemas import BINARY_FILE
 from millrace.session import file_store
 
 
@@ -83,6 +84,21 @@ def read_raw_shards(spark: SparkSession, path: str) -> DataFrame:
     return decode_raw(files)
 
 
+def stream_raw_shards(
+    spark: SparkSession, path: str, max_in_flight: int | None = None, retire: bool = False
+) -> DataFrame:
+    """Finished shard files as a stream, at most ``max_in_flight`` of them per micro-batch.
+
+    ``retire`` has the source delete files of earlier, committed micro-batches.
+    """
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", SHARD_GLOB)
+    if max_in_flight:
+        reader = reader.option("maxFilesPerTrigger", max_in_flight)
+    if retire:
+        reader = reader.option("cleanSource", "delete")
+    return decode_raw(reader.load(path))
+
+
 def shape_raw(raw: DataFrame, config: FeedConfig) -> tuple[DataFrame, DataFrame]:
     """(packed shards with clamped words, rejects with a reason) at the agreed row length.
 

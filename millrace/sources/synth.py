@@ -8,24 +8,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import STALL_S, FeedConfig
-from millrace.functions.columns import whole_div
+from millrace.functions.columns import once, whole_div
 
 
-def draw(bound: int, *parts: Column) -> Column:
-    """Number in ``[0, bound)`` fixed by the parts."""
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+def _number(text: Column, bound: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % bound
 
 
 def uniform_samples(rows: DataFrame, config: FeedConfig, seed: int) -> DataFrame:
-    """Random row and label for every (shard_id, pos_in_shard) of ``rows``."""
-    shard, pos = F.col("shard_id"), F.col("pos_in_shard")
-    x = F.transform(
-        F.sequence(F.lit(0), F.lit(config.seq_len - 1)),
-        lambda i: draw(config.vocab, F.lit(seed), shard, pos, i),
+    """Random row and label for every (shard_id, pos_in_shard) of ``rows``.
+
+    The value at place ``i`` is drawn from the text ``seed:shard:pos:i``, the label from ``seed:shard:pos:y``.
+    """
+    parts = [F.col(c).cast("string") for c in ("shard_id", "pos_in_shard")]
+    prefix = F.concat_ws(":", F.lit(str(seed)), *parts, F.lit(""))
+    places = F.sequence(F.lit(0), F.lit(config.seq_len - 1))
+    x = once(
+        prefix,
+        lambda p: F.transform(places, lambda i: _number(F.concat(p, i.cast("string")), config.vocab)),
     )
-    y = draw(config.classes, F.lit(seed), shard, pos, F.lit("y"))
-    return rows.withColumns({"x": x, "y": y})
+    return rows.withColumns({"x": x, "y": _number(F.concat(prefix, F.lit("y")), config.classes)})
 
 
 def rows_of(manifest: DataFrame, n: str = "n_samples") -> DataFrame:

@@ -96,6 +96,9 @@ def test_backlog(spark, many_ranges):
     for r in fits.collect():
         before = want[(r["shard_id"], 1)][1] - r["bytes"]
         assert r["held_before"] == before and r["fits"] == (700 - before > r["bytes"])
+    few = T.capacity_audit(held, 10**9, 3)
+    for r in few.collect():
+        assert r["fits"] == (3 - (r["items"] - 1) > 1)
 
 
 def test_retire_frees_first(spark):
