@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.functions.columns import once
-
 # Rows of a range, unless the session sets ROWS_SETTING; more where MAX_RANGES would be passed.
 ROWS_PER_RANGE = 100_000
 ROWS_SETTING = "spark.millrace.rowsPerRange"
@@ -64,19 +62,17 @@ def group_total(value: Column) -> Running:
     return Running("total", value)
 
 
-def _range_of(key: Column, cuts: Column, n_cuts: int) -> Column:
-    """How many of the sorted cut keys are not above ``key``, found by halving steps."""
-    steps = [1 << bit for bit in reversed(range(n_cuts.bit_length()))]
-    halving = F.array(*[F.lit(step) for step in steps])
-
-    def search(k: Column) -> Column:
-        return F.aggregate(
-            halving,
-            F.lit(0),
-            lambda low, step: F.when(k >= F.get(cuts, low + step - 1), low + step).otherwise(low),
-        )
+def _search(df: DataFrame, keys: list[str], cuts: Column, n_cuts: int) -> DataFrame:
+    """``df`` with the number of sorted cut keys that are not above its key, found by halving steps.
 
-    return once(key, search)
+    One projection per step: each compiles to a comparison with an element of a constant array.
+    """
+    found = df.withColumns({RANGE: F.lit(0), "_key": F.struct(*keys)})
+    for bit in reversed(range(n_cuts.bit_length())):
+        ahead = F.col(RANGE) + (1 << bit)
+        reached = F.col("_key") >= F.get(cuts, ahead - 1)
+        found = found.withColumn(RANGE, F.when(reached, ahead).otherwise(F.col(RANGE)))
+    return found.drop("_key")
 
 
 def with_range(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
@@ -112,7 +108,7 @@ def with_range(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
         return df.withColumn(RANGE, F.lit(0)), 1
     key_type = T.ArrayType(T.StructType([narrow.schema[k] for k in keys]))
     literal = F.from_json(F.lit(found["json"]), key_type)
-    return df.withColumn(RANGE, _range_of(F.struct(*keys), literal, found["n"])), found["n"] + 1
+    return _search(df, keys, literal, found["n"]), found["n"] + 1
 
 
 def carried(summary: DataFrame, group: list[str], columns: dict[str, Column]) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import timeline as T
+from millrace.session import stage
 
 ARRIVALS = "stream int, event_id int, shard_id int, ts_us bigint, service_us bigint, bytes bigint"
 ORDER = ["ts_us", "event_id"]
@@ -64,7 +65,7 @@ def test_consumer_wait_is_the_wait_of_the_schedule(spark, many_ranges):
 
 
 def served(spark, seed):
-    return T.starvation(spark.createDataFrame(arrivals(seed), ARRIVALS), "stream", ORDER)
+    return stage(T.starvation(spark.createDataFrame(arrivals(seed), ARRIVALS), "stream", ORDER))
 
 
 def test_backlog(spark, many_ranges):
