@@ -44,8 +44,11 @@ def phase_rows(wide: DataFrame, keys: list[str]) -> DataFrame:
     return wide.selectExpr(*keys, f"stack({len(PHASES)}, {pairs}) as (phase, ms)")
 
 
-def run_totals(log: DataFrame, by: list[str]) -> DataFrame:
-    """Shards, samples, correct, summed loss, bytes and time per phase, from a wide shard log."""
+def run_totals(log: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Shards, samples, correct, summed loss, bytes and time per phase, from a wide shard log.
+
+    ``more`` are further aggregates to take in the same pass, such as the wall time.
+    """
     return log.groupBy(*by).agg(
         F.count(F.lit(1)).alias("shards"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("samples"),
@@ -53,6 +56,7 @@ def run_totals(log: DataFrame, by: list[str]) -> DataFrame:
         F.coalesce(F.sum(F.col("loss") * F.col("n")), F.lit(0.0)).alias("loss_sum"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
         *[F.coalesce(F.sum(f"{p}_ms"), F.lit(0.0)).alias(f"{p}_ms") for p in PHASES],
+        *more,
     )
 
 

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.config import LEARNING_RATE, FeedConfig
-from millrace.functions.columns import clamp_tokens
 from millrace.operators.batching import minibatches, shuffle_within_shard
 from millrace.schemas import MODEL_STATE, SHARD_LOG
 from millrace.session import BROADCAST_BYTES
 from millrace.sinks.log import append_log, read_log
 
 BIAS = -1
+# Generous size of one sample's error per class in a broadcast table.
+ERROR_BYTES = 64
 # Fixed values of the optimizer.
 BETA1 = 0.9
 BETA2 = 0.999
@@ -33,9 +34,18 @@ def zero_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MODEL_STATE)
 
 
-def _ids(config: FeedConfig) -> Column:
-    """Bias and tokens of a sample. The clamp is what bounds the state to ``vocab + 1`` rows."""
-    return F.concat(F.array(F.lit(BIAS).cast("bigint")), clamp_tokens(F.col("x"), config.vocab))
+def _tokens(samples: DataFrame, config: FeedConfig, *keep: str) -> DataFrame:
+    """One row per token of each sample and one for its bias, with the columns to ``keep``.
+
+    The clamp is what bounds the state to ``vocab + 1`` rows; the bias goes through it as null.
+    """
+    ids = F.concat(F.array(F.lit(None).cast("bigint")), F.col("x"))
+    clamped = F.pmod(F.col("_id"), F.lit(config.vocab).cast("bigint"))
+    return (
+        samples.select(*keep, F.explode(ids).alias("_id"))
+        .withColumn("token", F.coalesce(clamped, F.lit(BIAS).cast("bigint")))
+        .drop("_id")
+    )
 
 
 def _small(config: FeedConfig) -> bool:
@@ -51,7 +61,7 @@ def score(samples: DataFrame, state: DataFrame, config: FeedConfig) -> DataFrame
     weights = state.where(F.col("token") != config.pad).select("token", "w")
     if _small(config):
         weights = F.broadcast(weights)
-    tokens = samples.select("sample_id", "y", F.explode(_ids(config)).alias("token"))
+    tokens = _tokens(samples, config, "sample_id", "y")
     sums = [
         F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"z{k}")
         for k in range(config.classes)
@@ -108,7 +118,8 @@ def gradient(
     """``token, g``: mean-loss gradient per token and class over the samples of a minibatch.
 
     Padding gets none. A frequent token is summed on the map side before anything is shuffled. ``n`` is
-    the number of samples where the caller knows it already.
+    the number of samples where the caller knows it already; if it is small enough for their errors to be
+    broadcast, the samples themselves are not shuffled.
     """
     p = probabilities(F.col("logits"))
     error = [
@@ -116,16 +127,16 @@ def gradient(
         for k in range(config.classes)
     ]
     errors = scored.select("sample_id", *error)
-    pulls = (
-        samples.select("sample_id", "x")
-        .join(errors, "sample_id")
-        .select(F.explode(_ids(config)).alias("token"), *[f"e{k}" for k in range(config.classes)])
-        .where(F.col("token") != config.pad)
+    if n is not None and n * ERROR_BYTES * config.classes <= BROADCAST_BYTES:
+        errors = F.broadcast(errors)
+    judged = samples.select("sample_id", "x").join(errors, "sample_id")
+    pulls = _tokens(judged, config, *[f"e{k}" for k in range(config.classes)]).where(
+        F.col("token") != config.pad
     )
     sums = pulls.groupBy("token").agg(
         *[F.sum(f"e{k}").alias(f"g{k}") for k in range(config.classes)]
     )
-    size = scored.agg(F.count(F.lit(1))).scalar() if n is None else F.lit(n)
+    size = samples.agg(F.count(F.lit(1))).scalar() if n is None else F.lit(n)
     mean = F.array(*[F.col(f"g{k}") / size for k in range(config.classes)])
     return sums.select("token", mean.alias("g"))
 

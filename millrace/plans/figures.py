@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import PHASES, FeedConfig
-from millrace.functions.columns import to_ms
 from millrace.operators import joins, metrics, timeline
 from millrace.plans import inputs
 from millrace.plans.inputs import STREAM_ORDER
@@ -78,10 +77,8 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def totals_with_wall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per run with its wall time; both come out of one pass over the log."""
-    log = inputs.shard_log(spark, sf_dir)
     span = F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1000.0
-    walls = log.groupBy("run").agg(span.alias("wall_ms"))
-    return metrics.run_totals(log, ["run"]).join(walls, "run")
+    return metrics.run_totals(inputs.shard_log(spark, sf_dir), ["run"], span.alias("wall_ms"))
 
 
 @query(

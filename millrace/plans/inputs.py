@@ -132,13 +132,6 @@ def phase_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phase_log_of(table(spark, sf_dir, "events"))
 
 
-def run_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``run, wall_ms``: time from a run's first event to its last."""
-    events = table(spark, sf_dir, "events").select("user_id", "ts")
-    span = F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1000.0
-    return events.groupBy(F.col("user_id").alias("run")).agg(span.alias("wall_ms"))
-
-
 def shard_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide shard log: one row per event, its value under the phase of its type, all else 0."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")

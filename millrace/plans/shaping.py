@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from millrace.config import FeedConfig
 from millrace.functions.columns import (
     batch_bytes,
-    batch_fault,
     clamp_labels,
     clamp_tokens,
     human_bytes,

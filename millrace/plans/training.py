@@ -21,7 +21,8 @@ TRAIN = FeedConfig(batch_size=256)
 def weights(spark: SparkSession) -> DataFrame:
     """A fixed set of weights: one row per token id and one for the bias."""
     weight = fixed_weights(CONFIG.vocab)
-    ids = spark.range(CONFIG.vocab).select(F.when(F.col("id") == 0, F.lit(model.BIAS)).otherwise(F.col("id")).alias("token"))
+    token = F.when(F.col("id") == 0, F.lit(model.BIAS)).otherwise(F.col("id"))
+    ids = spark.range(CONFIG.vocab).select(token.alias("token"))
     return ids.select("token", F.array(weight(F.col("token"), 0), weight(F.col("token"), 1)).alias("w"))
 
 
@@ -163,7 +164,9 @@ def train_over_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     published = publish_for_training(spark, shards)
     log, _ = model.train_over_shards(published, TRAIN, fresh_dir(spark, "training"))
-    return log.select("shard_id", "n", "bytes", r6(F.col("loss")).alias("loss"), "correct", r6(F.col("acc")).alias("acc"))
+    return log.select(
+        "shard_id", "n", "bytes", r6(F.col("loss")).alias("loss"), "correct", r6(F.col("acc")).alias("acc")
+    )
 
 
 def publish_for_training(spark: SparkSession, shards: DataFrame) -> DataFrame:
