@@ -162,15 +162,15 @@ def backlog(
     frees its place first.
     """
     columns = [stream, "shard_id", "ts_us"]
-    changes = published.select(*columns, F.lit(1).alias("delta"), F.col("bytes")).unionByName(
-        retired.select(*columns, F.lit(-1).alias("delta"), (-F.col("bytes")).alias("bytes"))
+    changes = published.select(*columns, F.lit(1).cast("bigint").alias("delta"), F.col("bytes")).unionByName(
+        retired.select(*columns, F.lit(-1).cast("bigint").alias("delta"), (-F.col("bytes")).alias("bytes"))
     )
     return running_columns(
         changes,
         [stream],
         ["ts_us", "delta", "shard_id"],
         {
-            "items": running_sum(F.col("delta").cast("bigint")),
+            "items": running_sum(F.col("delta")),
             "bytes_held": running_sum(F.col("bytes")),
         },
     )

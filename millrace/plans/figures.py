@@ -270,8 +270,8 @@ def elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "running_totals",
-    f"WITH {ARRIVALS} SELECT stream, event_id, sum(n) OVER w AS total_n, "
-    "sum(correct) OVER w AS total_correct, sum(bytes) OVER w AS total_bytes FROM arrivals "
+    f"WITH {ARRIVALS} SELECT stream, event_id, (sum(n) OVER w)::BIGINT AS total_n, "
+    "(sum(correct) OVER w)::BIGINT AS total_correct, (sum(bytes) OVER w)::BIGINT AS total_bytes FROM arrivals "
     "WINDOW w AS (PARTITION BY stream ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)",
 )
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +358,7 @@ def held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "backlog",
-    f"WITH {HELD} SELECT stream, shard_id, ts_us, delta, items::BIGINT AS items, "
+    f"WITH {HELD} SELECT stream, shard_id, ts_us, delta::BIGINT AS delta, items::BIGINT AS items, "
     "bytes_held::BIGINT AS bytes_held FROM held",
 )
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:

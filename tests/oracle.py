@@ -52,9 +52,15 @@ def normal(names: list[str], rows) -> list[tuple]:
     )
 
 
+KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def differences(spark, con, sf_dir: str, fn, sql: str) -> str | None:
     """None where both sides give the same columns and rows, otherwise what differs first."""
     df = fn(spark, sf_dir)
+    kinds = {c: t for c, t, *_ in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if {c: KINDS.get(t, t) for c, t in df.dtypes} != kinds:
+        return f"types {df.dtypes} / {kinds}"
     names, rows = sql_rows(con, sql)
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} / {sorted(names)}"
