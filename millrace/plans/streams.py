@@ -39,7 +39,10 @@ from millrace.streaming.feed import (
 
 IN_FLIGHT = 4
 RAW_IN_FLIGHT = 16
+LOOKAHEAD = 3
 STREAM_CONFIG = FeedConfig(batch_size=256)
+# Raw shards stay under the byte cap.
+RAW_CONFIG = FeedConfig(batch_size=128)
 FEED_LOG = "shard_id bigint, n bigint, bytes bigint, token_sum bigint, n_pos bigint, run_id string, batch_id bigint"
 
 
@@ -151,13 +154,13 @@ def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_sums(spark.read.schema(schema).parquet(f"{run_dir}/samples"))
 
 
-@query("stream_lookahead", _log_sql(256, f", s.shard_id // {IN_FLIGHT} AS wave"))
+@query("stream_lookahead", _log_sql(128, f", s.shard_id // {LOOKAHEAD} AS wave"))
 def stream_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A publisher that may be at most ``IN_FLIGHT`` shards ahead of its consumer.
+    """A publisher that may be at most ``LOOKAHEAD`` shards ahead of its consumer.
 
     Each wave publishes what the bound allows, and the consumer takes and deletes it.
     """
-    samples = stage(inputs.doc_shards(spark, sf_dir, STREAM_CONFIG), "to-publish")
+    samples = stage(inputs.doc_shards(spark, sf_dir, RAW_CONFIG), "to-publish")
     path, run_dir = fresh_dir(spark, "raw"), fresh_dir(spark, "feed")
     manifest = stage(samples.select("shard_id").distinct(), "manifest")
     log_schema = "shard_id bigint, n bigint, bytes bigint, token_sum bigint, n_pos bigint, batch_id bigint"
@@ -167,14 +170,14 @@ def stream_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_log(spark.createDataFrame([], log_schema).drop("batch_id"), log_path, "run", -1)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        packed, _ = shape_raw(batch, STREAM_CONFIG)
+        packed, _ = shape_raw(batch, RAW_CONFIG)
         log_shards(unpack_shards(packed), wave)
 
     while True:
         log = spark.read.schema(log_schema).parquet(log_path)
         pending = pending_shards(manifest, log, ["shard_id"])
         present = list_files(spark, path).where(F.col("shard_id").isNotNull())
-        now = publishable_now(pending, present, IN_FLIGHT)
+        now = publishable_now(pending, present, LOOKAHEAD)
         if publish_raw_shards(samples.join(now, "shard_id", "left_semi"), path).isEmpty():
             return log.select(*LOG_COLUMNS, F.col("batch_id").alias("wave"))
         stream = stream_raw_shards(spark, path)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # A table whose plan size is at most this many bytes may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+_staged: list[str] = []
+
 
 def local_session(app: str = "millrace", cores: str = "8", **conf: str) -> SparkSession:
     """Session for tests and the benchmark. A cluster brings its own session."""
@@ -57,9 +59,20 @@ def stage(df: DataFrame, purpose: str = "staged") -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, purpose)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged() -> int:
+    """Delete the tables this program has staged, once nothing derived from them is needed any more."""
+    dropped = 0
+    while _staged:
+        store, root = file_store(_staged.pop())
+        store.delete_dir(root)
+        dropped += 1
+    return dropped
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Rows of a table scan over all cores where its files give fewer tasks than there are cores.
 

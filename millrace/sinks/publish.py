@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.config import DONE_NAME
+from millrace.config import CAP_BYTES, DONE_NAME
 from millrace.functions.columns import is_leftover, is_publishable
 from millrace.operators.batching import pack_shards
 from millrace.session import file_store, stage
@@ -34,7 +34,7 @@ def publish_shards(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     )
 
 
-def _raw_writer(path: str):
+def _raw_writer(path: str, cap: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = file_store(path)
         store.create_dir(root, recursive=True)
@@ -45,6 +45,8 @@ def _raw_writer(path: str):
                 x = batch.column("x").slice(i, 1).flatten().flatten().to_numpy(zero_copy_only=False)
                 y = batch.column("y").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
                 words = np.concatenate([x, y]).astype("<i8")
+                if not 0 < words.nbytes < cap:
+                    raise ValueError(f"shard {shard} has {words.nbytes} bytes, allowed are 1 to {cap - 1}")
                 # Attempts of a task do not share a temporary name, and each ends in the same final file.
                 final = f"{root}/shard_{shard}.pt"
                 temporary = f"{root}/shard_{shard}.{attempt}.pt.tmp"
@@ -56,12 +58,13 @@ def _raw_writer(path: str):
     return write
 
 
-def publish_raw_shards(df: DataFrame, path: str) -> DataFrame:
+def publish_raw_shards(df: DataFrame, path: str, cap: int = CAP_BYTES) -> DataFrame:
     """Raw shard files, rows first and then labels; each is renamed into place by the task that wrote it.
 
-    Returns the stored publish log ``shard_id, bytes``.
+    A shard of ``cap`` bytes or more is refused, which bounds what one task packs. Returns the stored
+    publish log ``shard_id, bytes``.
     """
-    written = pack_shards(df).mapInArrow(_raw_writer(path), "shard_id bigint, bytes bigint")
+    written = pack_shards(df).mapInArrow(_raw_writer(path, cap), "shard_id bigint, bytes bigint")
     return stage(written, "publish-log")
 
 

@@ -3,11 +3,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.config import FeedConfig
 from millrace.operators.batching import unpack_shards
-from millrace.session import fresh_dir, local_path, stage
+from millrace.session import drop_staged, fresh_dir, local_path, stage
 from millrace.sinks import publish as P
 from millrace.sources import raw as R
 from millrace.sources.synth import fill_word, paced_source, synth_fill, synth_uniform
@@ -123,6 +124,13 @@ def test_publishing_twice_gives_the_same_files(spark, folder):
     assert rows(unpack_shards(packed)) == rows(samples)
 
 
+def test_shard_at_the_cap_is_refused(spark, folder):
+    samples = synth_uniform(spark, 1, 8, TINY)
+    with pytest.raises(Exception, match="shard 0 has 384 bytes, allowed are 1 to 383"):
+        P.publish_raw_shards(samples, folder, cap=384)
+    assert P.publish_raw_shards(samples, folder, cap=385).first()["bytes"] == 384
+
+
 def test_listing_shows_empty_files(spark, folder):
     touch(folder, "shard_12.pt", "DONE")
     files = R.list_files(spark, folder)
@@ -136,6 +144,12 @@ def test_stage(spark):
     assert "LocalTableScan" not in staged._jdf.queryExecution().toString() and "parquet" in staged._jdf.queryExecution().toString()
 
 
+def test_drop_staged(spark):
+    drop_staged()
+    path = stage(spark.range(3)).inputFiles()[0]
+    assert os.path.exists(local_path(path)) and drop_staged() == 1 and not os.path.exists(local_path(path))
+
+
 def test_paced_source(spark):
     run = fresh_dir(spark, "paced")
     stream = paced_source(spark, TINY, seed=1)
