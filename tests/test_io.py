@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from millrace.config import FeedConfig
@@ -144,6 +147,13 @@ def test_stage(spark):
     assert "LocalTableScan" not in staged._jdf.queryExecution().toString() and "parquet" in staged._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("fn", [R._decode, R._lister(True), P._raw_writer("x", 1), P._deleter])
+def test_task_functions_need_no_package_on_the_worker(fn, folder):
+    load = "import sys; from pyspark import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(fn), cwd=folder, env=env, check=True)
+
+
 def test_drop_staged(spark):
     drop_staged()
     path = stage(spark.range(3)).inputFiles()[0]
