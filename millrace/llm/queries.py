@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, language_id, packing, pu_quality, token_counts
+from millrace.llm import (
+    byte_bpe,
+    language_id,
+    packing,
+    pu_quality,
+    quality_rules,
+    secret_scan,
+    token_counts,
+)
 from millrace.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -45,3 +53,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_secret_scan"] = secret_scan.scan_sql()
