@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import (
     byte_bpe,
     language_id,
+    near_dup,
     packing,
     pu_quality,
     quality_rules,
@@ -55,6 +56,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
