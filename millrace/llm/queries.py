@@ -13,6 +13,8 @@ from millrace.llm import (
     quality_rules,
     secret_scan,
     token_counts,
+    vp_search,
+    warc,
 )
 from millrace.plans.registry import Query
 
@@ -61,6 +63,19 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vp_search.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_ts", "history_part", "history_pos"
+    )
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
