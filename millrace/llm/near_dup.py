@@ -11,9 +11,9 @@
    component. 1 - similarity is a metric, so what is linked to one of them has a similarity of at least 2 * threshold - 1 with
    the pivot; if no unlinked member comes near that, they leave the node. So a hot group of near copies takes one pass and is
    never turned into pairs. What is still large after ``DEPTH`` levels is compared in blocks, all of it.
-4. Small nodes are compared exhaustively by sketches of 128 minwise tokens, in two rounds. The first names for each
-   member its likeliest partner and the most central one; these pairs are confirmed on the full sets and joined to
-   components. The second names all likely pairs between different components. A node met in several trees is compared once.
+4. Small nodes are compared exhaustively: first by sketches of 128 minwise tokens, which leaves the members that have a likely
+   partner in the node; then, for these, by their full sets, all pairs at once as products of membership matrices. A node
+   gives a spanning forest of its links, so never more rows than members. A node met in several trees is compared once.
 5. Confirmed links are joined to components by alternating large-star and small-star steps.
 
 Sketches only choose what is confirmed: a pair at the threshold is overlooked by its sketch about once in 60,000 times.
@@ -38,7 +38,7 @@ SKETCH = 128
 TREES = 8
 BRANCHES = 2
 DEPTH = 6
-NODE_LIMIT = 1024
+NODE_LIMIT = 4096
 # Least share of equal sketch places of a pair that is confirmed: four deviations below the threshold.
 MARGIN = 0.13
 FILTER_BITS = 23
@@ -169,14 +169,6 @@ def _children(members: DataFrame) -> DataFrame:
     return members.select("node", "c", "sketch").mapInArrow(run, f"node bigint, c {kind}")
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal places of every row of a with every row of b."""
-    out = np.empty((len(a), len(b)), np.float32)
-    for at in range(0, len(a), 64):
-        out[at : at + 64] = (a[at : at + 64, None, :] == b[None, :, :]).mean(axis=2, dtype=np.float32)
-    return out
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
     """Rows of one node at a time, from batches that are sorted by node."""
     held: list[pd.DataFrame] = []
@@ -197,58 +189,87 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _likely_pairs(members: DataFrame, least: float, labelled: bool) -> DataFrame:
-    """``a, b`` with a < b from members ``node, c, sketch, label`` of small nodes.
-
-    Without labels, at most two pairs per member: the likeliest partner before it and the most central one. With labels, every
-    likely pair of different labels.
-    """
+def _with_partner(members: DataFrame, least: float) -> DataFrame:
+    """``node, c`` of the members ``node, c, sketch`` of small nodes that have a likely partner in their node."""
     kind = members.schema["c"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list = []
+        kept: list = []
+        for rows in _groups(batches):
+            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), SKETCH)
+            some = np.zeros(len(rows), bool)
+            for at in range(0, len(rows), 64):
+                like = (sketch[at : at + 64, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.uint8)
+                like[np.arange(len(like)), np.arange(at, at + len(like))] = 0
+                some[at : at + 64] = like.max(axis=1) >= least * SKETCH
+            kept += rows["c"].to_numpy()[some].tolist()
+            nodes += [rows["node"].iloc[0]] * int(some.sum())
+            if len(kept) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kept)], ["node", "c"])
+                nodes, kept = [], []
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(kept)], ["node", "c"])
+
+    dealt = members.select("node", "c", "sketch").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(run, f"node bigint, c {kind}")
+
+
+def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with 100 * intersection >= percent * union; every pair is looked at."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = count[column] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)  # whole numbers below 2**24 are exact
+    wide = 2048
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, [low, low + wide])
+        member = np.zeros((n, wide), np.float32)
+        member[row[a:b], column[a:b] - low] = 1
+        both += member @ member.T
+    label = np.arange(n)
+    forest = []
+    for i in range(1, n):
+        # 100 * both >= percent * (a + b - both)
+        near = np.flatnonzero((100 + percent) * both[i, :i].astype(np.int64) >= percent * (sizes[:i] + sizes[i]))
+        while len(near):
+            j = near[0]
+            forest.append((int(j), i))
+            label[label == label[i]] = label[j]
+            near = near[label[near] != label[i]]
+    return forest
+
+
+def _node_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` within nodes ``node, c``, confirmed on the full sets ``c, held``."""
+    kind = nodes.schema["c"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a: list = []
         out_b: list = []
         for rows in _groups(batches):
-            rows = rows.sort_values("c", kind="stable")
-            c = rows["c"].to_numpy()
-            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(c), SKETCH)
-            if labelled:
-                label = rows["label"].to_numpy()
-                if (label == label[0]).all():
-                    continue
-            like = _similar(sketch, sketch)
-            near = np.tril(like >= least, -1)
-            if labelled:
-                near &= label[:, None] != label[None, :]
-                i, j = np.nonzero(near)
-            else:
-                has = np.flatnonzero(near.any(axis=1))
-                best = np.where(near[has], like[has], -1).argmax(axis=1)
-                both = near | near.T
-                central = np.where(both, like, 0).sum(axis=1)
-                some = np.flatnonzero(both.any(axis=1))
-                hub = np.where(both[some], central[None, :], -1).argmax(axis=1)
-                i, j = np.concatenate([has, some]), np.concatenate([best, hub])
-            out_a += np.minimum(c[i], c[j]).tolist()
-            out_b += np.maximum(c[i], c[j]).tolist()
-            if len(out_a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b)], ["a", "b"])
-                out_a, out_b = [], []
+            c = rows["c"].tolist()
+            for i, j in linked_pairs([np.frombuffer(x, np.uint64) for x in rows["held"]], percent):
+                out_a.append(min(c[i], c[j]))
+                out_b.append(max(c[i], c[j]))
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b)], ["a", "b"])
 
-    columns = ["node", "c", "sketch", *(["label"] if labelled else [])]
-    dealt = members.select(columns).repartition("node").sortWithinPartitions("node")
+    dealt = nodes.join(sets, "c").select("node", "c", "held").repartition("node").sortWithinPartitions("node", "c")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").where("a < b").distinct()
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs ``a, b`` with 100 * intersection >= percent * union of their full sets.
+def _full_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored ``c, held``: the full sets of the classes ``c`` that are asked for.
 
     Texts are not shuffled: a bit filter of fixed size (1 MB) over the ids that are asked for picks the texts, and only the
-    sets made of these are sent to their pairs.
+    sets made of these are sent on.
     """
-    asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     one = F.lit(1).cast("bigint")
     words = asked.select(bit("c").alias("x")).groupBy(F.expr("x div 64").alias("_word")).agg(
@@ -272,7 +293,14 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     found = picked.select(id_col, text_col).mapInArrow(sets, f"c {kind}, fp1 bigint, fp2 bigint, held binary")
     # Of a repeated id, the text that stands for its class.
     found = found.join(classes.select("c", "fp1", "fp2"), ["c", "fp1", "fp2"]).dropDuplicates(["c"]).select("c", "held")
-    found = stage(found.join(asked, "c", "left_semi"), "near-sets")
+    return stage(found.join(asked, "c", "left_semi"), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs ``a, b`` with 100 * intersection >= percent * union of their full sets."""
+    asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    found = _full_sets(asked, classes, docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
     wide = pairs.join(found.select(F.col("c").alias("a"), F.col("held").alias("x")), "a").join(
         found.select(F.col("c").alias("b"), F.col("held").alias("y")), "b"
     )
@@ -351,7 +379,7 @@ def near_duplicates(
         "near-classes",
     )
     sketches = classes.select("c", "sketch")
-    links = [_same_id(every)]
+    links: list[DataFrame] = []
     small: list[DataFrame] = []
     placed = _roots(classes, trees)
     for level in range(depth + 1):
@@ -373,19 +401,16 @@ def near_duplicates(
     dealt = small[0]
     for more in small[1:]:
         dealt = dealt.union(more)
-    dealt = stage(dealt.distinct().join(sketches, "c"), "near-members")
-    first = stage(_likely_pairs(dealt, least, False), "near-pairs")
-    links.append(_confirmed(first, classes, docs, percent, id_col, text_col))
+    nodes = stage(_with_partner(dealt.distinct().join(sketches, "c"), least), "near-members")
+    # Most groups of copies meet in every tree.
+    once = _nodes(nodes).groupBy("n", "x").agg(F.min("node").alias("node"))
+    nodes = nodes.join(once.select("node"), "node")
+    sets = _full_sets(nodes.select("c").distinct(), classes, docs, id_col, text_col)
+    links.append(stage(_node_links(nodes, sets, percent), "near-links"))
     known = links[0]
     for more in links[1:]:
         known = known.union(more)
     labels = components(known)
-    labelled = dealt.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    rest = stage(_likely_pairs(labelled, least, True), "near-pairs").join(first, ["a", "b"], "left_anti")
-    rest = stage(rest, "near-rest")
-    if not rest.isEmpty():
-        known = known.union(_confirmed(rest, classes, docs, percent, id_col, text_col))
-        labels = components(known)
     reached = classes.select("fp1", "fp2", "n_shingles", "c").join(labels, "c", "left").select(
         "fp1", "fp2", "n_shingles", F.coalesce("label", "c").alias("component_id")
     )
@@ -397,12 +422,6 @@ def near_duplicates(
     )
 
 
-def _same_id(every: DataFrame) -> DataFrame:
-    """No links yet; classes that share their least id are one vertex already."""
-    kind = every.schema["doc_id"].dataType.simpleString()
-    return every.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-
-
 def _around_pivots(
     members: DataFrame, sketches: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str
 ) -> tuple[DataFrame, DataFrame]:
