@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.config import LEARNING_RATE, FeedConfig
+from millrace.config import LEARNING_RATE, WORD_BYTES, FeedConfig
 from millrace.operators.batching import minibatches, shuffle_within_shard
 from millrace.schemas import MODEL_STATE, SHARD_LOG
 from millrace.session import BROADCAST_BYTES
@@ -190,24 +190,26 @@ def train_shard(
     minibatch: int | None = None,
     seed: int = 0,
 ) -> tuple[DataFrame, int, dict]:
-    """One pass over a shard: (state, last step number, the shard's n, loss, correct and accuracy).
+    """One pass over a shard: (state, last step number, the shard's n, bytes, loss, correct and accuracy).
 
-    The shard is shuffled and cut into minibatches; by default it is one.
+    The shard is shuffled and cut into minibatches, as many as its rows give; by default it is one. Every row is
+    trained on, whatever size the shard has.
     """
-    size = minibatch or config.batch_size
-    parts = -(-config.batch_size // size)
-    cut = shard if parts == 1 else minibatches(shuffle_within_shard(shard, seed), size)
+    whole = minibatch is None
+    cut = shard.withColumn("minibatch", F.lit(0)) if whole else minibatches(shuffle_within_shard(shard, seed), minibatch)
+    row_bytes = WORD_BYTES * (F.size("x") + 1).cast("bigint")
+    facts = cut.agg(
+        (F.coalesce(F.max("minibatch"), F.lit(-1)) + 1).alias("parts"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")
+    ).first()
     n, loss_sum, correct = 0, 0.0, 0
-    for part in range(parts):
-        rows = cut if parts == 1 else cut.where(F.col("minibatch") == part)
+    for part in range(facts["parts"]):
+        rows = cut if whole else cut.where(F.col("minibatch") == part)
         state, m = train_minibatch(rows, state, step + 1, config, f"{state_path}/part={part}")
-        if m["n"] == 0:
-            break
         step += 1
         n, loss_sum, correct = n + m["n"], loss_sum + m["loss_sum"], correct + m["correct"]
     return state, step, {
         "n": n,
-        "bytes": n * config.sample_bytes,
+        "bytes": facts["bytes"],
         "loss": loss_sum / max(n, 1),
         "correct": correct,
         "acc": correct / max(n, 1),
@@ -228,10 +230,11 @@ def train_over_shards(
     A shard is one optimizer step unless ``minibatch`` is smaller, so at scale shards should be large.
     """
     spark = shards.sparkSession
-    ends = shards.agg(F.min("shard_id").alias("lo"), F.max("shard_id").alias("hi")).first()
+    # One number per step that the driver takes anyway; numbers without a shard are not among them.
+    numbers = [r["shard_id"] for r in shards.select("shard_id").distinct().orderBy("shard_id").collect()]
     state, step, order = zero_state(spark), 0, 0
     append_log(spark.createDataFrame([], SHARD_LOG).drop("run_id", "batch_id"), f"{run_dir}/log", run_id, -1)
-    for shard_id in range(ends["lo"], ends["hi"] + 1) if ends["lo"] is not None else ():
+    for shard_id in numbers:
         shard = shards.where(F.col("shard_id") == shard_id)
         state, step, m = train_shard(
             shard, state, step, config, f"{run_dir}/state/shard={shard_id}", minibatch, seed

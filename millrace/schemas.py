@@ -16,14 +16,6 @@ SAMPLE = T.StructType(
     ]
 )
 
-PACKED_SHARD = T.StructType(
-    [
-        T.StructField("shard_id", T.LongType()),
-        T.StructField("x", T.ArrayType(_LONGS)),
-        T.StructField("y", _LONGS),
-    ]
-)
-
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -33,14 +25,6 @@ BINARY_FILE = T.StructType(
     ]
 )
 
-RAW_SHARD = T.StructType(
-    [
-        T.StructField("shard_id", T.LongType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("words", _LONGS),
-    ]
-)
-
 MODEL_STATE = T.StructType(
     [
         T.StructField("token", T.LongType()),

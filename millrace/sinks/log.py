@@ -16,8 +16,10 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def latest(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest row per key of a log of updates."""
+def latest(log: DataFrame, keys: list[str], run_id: str | None = None) -> DataFrame:
+    """Newest row per key of a log of updates of one run; without ``run_id`` the log holds only one."""
+    if run_id is not None:
+        log = log.where(F.col("run_id") == run_id)
     rest = [c for c in log.columns if c not in {*keys, "batch_id", "run_id"}]
     newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("row"))
     return newest.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])

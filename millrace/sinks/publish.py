@@ -115,7 +115,7 @@ def _deleter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Missing is fine: the task may have run before.
             if store.get_file_info(name).type != fs.FileType.NotFound:
                 store.delete_file(name)
-            gone += 1
+                gone += 1
         yield pa.RecordBatch.from_pydict({"gone": pa.array([gone], pa.int64())})
 
 

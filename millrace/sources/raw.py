@@ -22,16 +22,33 @@ from millrace.schemas import BINARY_FILE
 from millrace.session import file_store
 
 
+def _with_scheme(scheme: str, path: str) -> str:
+    """Path of a file as its folder was named. Object stores list paths that begin with the bucket."""
+    if not scheme:
+        return path
+    bucket = scheme.split("://")[1]
+    rest = path.removeprefix(f"{bucket}/") if bucket else path
+    return f"{scheme}/{rest.lstrip('/')}"
+
+
 def _lister(recursive: bool):
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder in batch.column("folder").to_pylist():
                 store, root = file_store(folder)
-                for info in store.get_file_info(fs.FileSelector(root, recursive=recursive)):
-                    if info.type == fs.FileType.File:
-                        yield pa.RecordBatch.from_pydict(
-                            {"folder": [folder], "file": [info.path], "length": [info.size]}
-                        )
+                found = store.get_file_info(fs.FileSelector(root, recursive=recursive))
+                files = [f for f in found if f.type == fs.FileType.File]
+                # A file keeps the scheme of its folder, so that it is opened on the same file system.
+                scheme = folder.split("://")[0] + "://" + folder.split("://")[1].split("/")[0] if "://" in folder else ""
+                for at in range(0, len(files), 4096):
+                    part = files[at : at + 4096]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "folder": [folder] * len(part),
+                            "file": [_with_scheme(scheme, f.path) for f in part],
+                            "length": [f.size for f in part],
+                        }
+                    )
 
     return names
 

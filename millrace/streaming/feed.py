@@ -159,4 +159,4 @@ def keep_metrics(
             T.StructField("batch_id", T.LongType()),
         ]
     )
-    return query, lambda: latest(spark.read.schema(logged).parquet(path), by)
+    return query, lambda: latest(spark.read.schema(logged).parquet(path), by, run_id)

@@ -75,6 +75,8 @@ def test_shape_check(spark):
     manifest = spark.createDataFrame(rows, "shard_id int, n_samples bigint, n_bytes bigint, seq_len int")
     got = {r["shard_id"]: r["fault"] for r in J.shape_check(manifest, TINY).collect()}
     assert got == {1: "row length", 2: "samples", 3: "bytes"}
+    last = manifest.where("shard_id < 3")  # now the short one is the last
+    assert [r["shard_id"] for r in J.shape_check(last, TINY).collect()] == [1]
 
 
 def test_embedding_lookup_broadcast_and_salted(spark, monkeypatch):
@@ -88,3 +90,5 @@ def test_embedding_lookup_broadcast_and_salted(spark, monkeypatch):
     assert found(J.embedding_lookup(tokens, table, 3)) == want
     monkeypatch.setattr(J, "broadcast_if_small", lambda df: df)
     assert found(J.embedding_lookup(tokens, table, 3)) == want
+    alone = J.embedding_lookup(tokens.select("token"), table, 3)
+    assert sorted((r["token"], r["vec"][0]) for r in alone.collect()) == sorted((t, float(t if t < 20 else 0)) for t in [0, 7, 7, 19, 25] * 5)

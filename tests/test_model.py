@@ -90,6 +90,16 @@ def test_training_is_the_hand_made_one(spark, minibatch):
         assert r["w"] == pytest.approx(hand.w[row].tolist(), abs=1e-9)
 
 
+@pytest.mark.parametrize("minibatch", [None, 4, 50])
+def test_every_row_of_a_large_shard_is_trained_on(spark, minibatch):
+    # 20 rows in a shard of a feed with 8 to a batch, and numbers without a shard between two.
+    rows = synth_uniform(spark, 5, 8, TINY, seed=4).where("sample_id < 27")
+    shards = rows.withColumn("shard_id", F.when(F.col("sample_id") < 20, F.lit(3)).otherwise(F.lit(9)).cast("bigint"))
+    log, _ = M.train_over_shards(shards, TINY, fresh_dir(spark, "t"), minibatch)
+    got = {r["shard_id"]: (r["n"], r["bytes"]) for r in log.collect()}
+    assert got == {3: (20, 20 * TINY.sample_bytes), 9: (7, 7 * TINY.sample_bytes)}
+
+
 def test_loss_falls_on_separable_shards(spark):
     config = FeedConfig(batch_size=16, seq_len=4, vocab=20)
     ids = spark.range(96)
