@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from millrace.llm.encoding import CachedEncoder, text_rows
+from millrace.llm.encoding import CachedEncoder, once_per_worker, text_rows
 from millrace.llm.pretokens import HashTable, _mixed
 
 NONE = np.iinfo(np.int64).max
@@ -134,9 +134,6 @@ class RankEncoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_ENCODERS: dict[str, tuple[RankEncoder, CachedEncoder]] = {}
-
-
 def local_copy(path: str) -> str:
     """The file where it lies on this machine, else the copy that was sent along with the job."""
     try:
@@ -147,11 +144,13 @@ def local_copy(path: str) -> str:
 
 
 def encoder(path: str) -> tuple[RankEncoder, CachedEncoder]:
-    """The worker's encoder of a rank file, made once."""
-    if path not in _ENCODERS:
+    """The worker's encoder of a rank file."""
+
+    def make() -> tuple[RankEncoder, CachedEncoder]:
         ranks = RankEncoder(read_ranks(local_copy(path)))
-        _ENCODERS[path] = ranks, CachedEncoder(ranks)
-    return _ENCODERS[path]
+        return ranks, CachedEncoder(ranks)
+
+    return once_per_worker(("ranks", path), make)
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +14,24 @@ from millrace.llm.pretokens import HashTable, Splitter, chunks, text_of
 # Encodes pre-tokens: (all ids one after another, number of ids of each).
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
-_SPLITTER: Splitter | None = None
+_MEMORY = "millrace_worker_memory"
+
+
+def once_per_worker(key: object, make: Callable[[], object]):
+    """What ``make`` gives, made once in each worker process.
+
+    Functions travel with their task by value, so their modules' globals are new in each task; a module of the process
+    keeps what is costly to make.
+    """
+    held = sys.modules.setdefault(_MEMORY, ModuleType(_MEMORY)).__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def splitter() -> Splitter:
-    """The worker's splitter, made once."""
-    global _SPLITTER
-    if _SPLITTER is None:
-        _SPLITTER = Splitter()
-    return _SPLITTER
+    """The worker's splitter."""
+    return once_per_worker("splitter", Splitter)
 
 
 class CachedEncoder:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 
 from millrace.llm.byte_bpe import local_copy
-from millrace.llm.encoding import CachedEncoder
+from millrace.llm.encoding import CachedEncoder, once_per_worker
 
 
 class LibraryTokens:
@@ -85,11 +85,6 @@ class LibraryTokens:
                 yield owner[k], np.array(marks[k], np.int32)
 
 
-_LIBRARIES: dict[str, LibraryTokens] = {}
-
-
 def library(path: str) -> LibraryTokens:
-    """The worker's tokens of a file, made once."""
-    if path not in _LIBRARIES:
-        _LIBRARIES[path] = LibraryTokens(path)
-    return _LIBRARIES[path]
+    """The worker's tokens of a file."""
+    return once_per_worker(("library", path), lambda: LibraryTokens(path))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.encoding import splitter, text_rows
+from millrace.llm.encoding import once_per_worker, splitter, text_rows
 from millrace.llm.pretokens import END_POINT, chunks
 
 SHAPES = 1024
@@ -51,23 +51,17 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -40, 40)))
 
 
-_SHAPE_OF: np.ndarray | None = None
-
-
-def _shape_of() -> np.ndarray:
+def _shapes() -> np.ndarray:
     """Shape of every code point: its kind for letters, digits and spaces, itself for the rest."""
-    global _SHAPE_OF
-    if _SHAPE_OF is None:
-        kinds = splitter().kinds
-        shape = np.arange(END_POINT + 1, dtype=np.uint32)
-        shape[kinds == 0] = 1
-        shape[kinds == 1] = 2
-        shape[kinds == 2] = 3
-        cased = "".join(chr(c) for c in np.flatnonzero(kinds == 0))
-        shape[[ord(c) for c in cased if c.isupper()]] = 4
-        shape[0x0A] = 5
-        _SHAPE_OF = shape
-    return _SHAPE_OF
+    kinds = splitter().kinds
+    shape = np.arange(END_POINT + 1, dtype=np.uint32)
+    shape[kinds == 0] = 1
+    shape[kinds == 1] = 2
+    shape[kinds == 2] = 3
+    cased = "".join(chr(c) for c in np.flatnonzero(kinds == 0))
+    shape[[ord(c) for c in cased if c.isupper()]] = 4
+    shape[0x0A] = 5
+    return shape
 
 
 def text_features(texts: list[str]) -> np.ndarray:
@@ -79,7 +73,7 @@ def text_features(texts: list[str]) -> np.ndarray:
         points, starts, ends, hashes, piece = splitter().split(held)
         text_of = np.repeat(np.array([0, *owner, 0]), [1, *(len(p) + 1 for p in held), 1])[: len(points)]
         inside = points != END_POINT
-        shape = _shape_of()[points]
+        shape = once_per_worker("shapes", _shapes)[points]
         gram = np.zeros(len(points), np.uint32)
         whole = inside.copy()
         for length in (1, 2, 3):
