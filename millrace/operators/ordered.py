@@ -12,6 +12,7 @@ The order key must be unique inside a group.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,10 @@ ROWS_PER_RANGE = 100_000
 ROWS_SETTING = "spark.millrace.rowsPerRange"
 MAX_RANGES = 20_000
 KEYS_PER_RANGE = 20
+# Rows of at least WIDE_ROW bytes are cut by bytes too, into at least one range a core.
+RANGE_BYTES = 64 * 1024 * 1024
+WIDE_ROW = 1024
+WIDTH_ROWS = 1000
 RANGE = "_range"
 
 
@@ -75,17 +80,43 @@ def _search(df: DataFrame, keys: list[str], cuts: Column, n_cuts: int) -> DataFr
     return found.drop("_key")
 
 
+def _octets(fields: Iterable[T.StructField]) -> list[Column]:
+    """About how many bytes each column of unbounded size takes in a row."""
+    out = []
+    for field in fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            out.append(F.octet_length(column))
+        elif isinstance(field.dataType, T.ArrayType):
+            out.append(F.size(column) * 8)
+    return [F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in out]
+
+
+def row_bytes(df: DataFrame) -> float:
+    """Average width of the first ``WIDTH_ROWS`` rows in their columns of unbounded size; 0 where there are none."""
+    parts = _octets(df.schema.fields)
+    if not parts:
+        return 0.0
+    widths = [r[0] for r in df.select(sum(parts[1:], parts[0])).take(WIDTH_ROWS)]
+    return sum(widths) / max(len(widths), 1)
+
+
 def with_range(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """``df`` with the number of its key range, and how many ranges there are.
 
     Two passes over the key columns only: a count, and a sample of about ``KEYS_PER_RANGE`` keys per
-    range (bounded by ``MAX_RANGES``) from which the cut keys are taken. The cut keys steer balance;
-    no result depends on them.
+    range (bounded by ``MAX_RANGES``) from which the cut keys are taken. Wide rows, whose width is that of
+    the first ones, get more ranges. The cut keys steer balance; no result depends on them.
     """
     narrow = df.select(*keys)
     total = narrow.count()
     rows_per_range = int(df.sparkSession.conf.get(ROWS_SETTING, str(ROWS_PER_RANGE)))
-    ranges = min(MAX_RANGES, math.ceil(total / rows_per_range))
+    ranges = math.ceil(total / rows_per_range)
+    width = row_bytes(df)
+    if width >= WIDE_ROW:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        ranges = max(ranges, math.ceil(total * width / RANGE_BYTES), min(cores, total))
+    ranges = min(MAX_RANGES, ranges)
     if ranges <= 1:
         return df.withColumn(RANGE, F.lit(0)), 1
     share = min(1.0, ranges * KEYS_PER_RANGE / total)

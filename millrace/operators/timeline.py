@@ -68,15 +68,15 @@ def shard_ordinal(
 
 
 def starvation(
-    arrivals: DataFrame, stream: str, order: list[str]
+    arrivals: DataFrame, stream: str, order: list[str], run_start_us: int | None = None
 ) -> DataFrame:
     """When a one-at-a-time consumer starts and finishes each shard, and how long it sat idle.
 
     A shard starts at the later of its arrival ``ts_us`` and the finish before it. With C the running
     sum of ``service_us`` this has a closed form, ``finish = C + max over earlier rows of
     (ts_us - C before that row)``, so no loop is needed. Adds ``start_us``, ``finish_us``, ``wait_us``
-    (idle before the shard; the first counts from ``start of stream`` = 0 idle) and ``queue_us``
-    (how long the shard lay there).
+    (idle before the shard) and ``queue_us`` (how long the shard lay there). The consumer is ready from
+    ``run_start_us`` on, so the first wait counts from there; without it the run begins with the first arrival.
     """
     ranged, ranges = with_range(arrivals, [stream, *order])
     rows = Window.partitionBy(RANGE, stream).orderBy(*order)
@@ -103,8 +103,9 @@ def starvation(
         local = join_carried(local, carry, [stream], ["_c0", "_m0"]).withColumn(
             "_c0", F.coalesce("_c0", F.lit(0).cast("bigint"))
         )
-    top = F.greatest(F.col("_m") - F.col("_c0"), F.col("_m0"))
-    top_before = F.greatest(F.col("_m_before") - F.col("_c0"), F.col("_m0"))
+    ready = F.lit(run_start_us).cast("bigint")  # null where the run begins with the first arrival
+    top = F.greatest(F.col("_m") - F.col("_c0"), F.col("_m0"), ready)
+    top_before = F.greatest(F.col("_m_before") - F.col("_c0"), F.col("_m0"), ready)
     finish = F.col("_c") + F.col("_c0") + top
     return local.withColumns(
         {
@@ -116,9 +117,9 @@ def starvation(
     ).drop(RANGE, "_c", "_slack", "_m", "_m_before", "_c0", "_m0")
 
 
-def starvation_ratio(served: DataFrame, stream: str) -> DataFrame:
-    """Idle share of the time from a stream's first arrival to its last finish."""
-    whole = F.col("last_us") - F.col("first_us")
+def starvation_ratio(served: DataFrame, stream: str, run_start_us: int | None = None) -> DataFrame:
+    """Idle share of the time from the start of the run, by default a stream's first arrival, to its last finish."""
+    whole = F.col("last_us") - F.coalesce(F.lit(run_start_us).cast("bigint"), F.col("first_us"))
     return (
         served.groupBy(stream)
         .agg(
@@ -135,13 +136,17 @@ def starvation_ratio(served: DataFrame, stream: str) -> DataFrame:
 
 
 def consumer_wait(
-    log: DataFrame, stream: str, order: list[str]
+    log: DataFrame, stream: str, order: list[str], run_start_us: int | None = None
 ) -> DataFrame:
-    """``wait_us`` from finishing one shard to starting the next, out of logged starts and finishes."""
+    """``wait_us`` from finishing one shard to starting the next, out of logged starts and finishes.
+
+    The first counts from ``run_start_us``; without it, it is 0.
+    """
     before = running_columns(
         log, [stream], order, {"_before": previous(F.col("finish_us"))}
     )
-    wait = F.coalesce(F.col("start_us") - F.col("_before"), F.lit(0).cast("bigint"))
+    begin = F.coalesce(F.col("_before"), F.lit(run_start_us).cast("bigint"), F.col("start_us"))
+    wait = F.col("start_us") - begin
     return before.withColumn("wait_us", wait).drop("_before")
 
 

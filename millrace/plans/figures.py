@@ -203,8 +203,9 @@ def empty_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "empty_distribution",
-    "SELECT unnest(['wait', 'load', 'pin', 'h2d', 'train']) AS phase, 0::BIGINT AS n, "
-    "NULL::DOUBLE AS p95_ms",
+    "WITH n AS (SELECT unnest(['wait', 'load', 'pin', 'h2d', 'train']) AS phase), "
+    "e AS (SELECT value FROM events WHERE value < 0) "
+    "SELECT phase, count(e.value) AS n, quantile_disc(e.value, 0.95)::DOUBLE AS p95_ms FROM n LEFT JOIN e ON true GROUP BY phase",
 )
 def empty_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = inputs.phase_log(spark, sf_dir).where(F.col("ms") < 0)
@@ -290,8 +291,12 @@ def shard_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("stream", "event_id", "ordinal")
 
 
+# All runs begin with the first instant of the clock.
+RUN_START_US = 0
+
+
 def served(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.starvation(inputs.arrivals(spark, sf_dir), "stream", STREAM_ORDER)
+    return timeline.starvation(inputs.arrivals(spark, sf_dir), "stream", STREAM_ORDER, RUN_START_US)
 
 
 def served_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,11 +317,11 @@ def starvation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "starvation_ratio",
     f"WITH {SERVED} SELECT stream, count(*) AS shards, sum(wait_us)::BIGINT AS wait_us, "
-    "sum(service_us)::BIGINT AS service_us, round(CASE WHEN max(finish_us) > min(ts_us) THEN "
-    "sum(wait_us)::DOUBLE / (max(finish_us) - min(ts_us)) ELSE 0 END, 6) AS starvation FROM served GROUP BY 1",
+    "sum(service_us)::BIGINT AS service_us, round(CASE WHEN max(finish_us) > 0 THEN "
+    "sum(wait_us)::DOUBLE / max(finish_us) ELSE 0 END, 6) AS starvation FROM served GROUP BY 1",
 )
 def starvation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = timeline.starvation_ratio(served(spark, sf_dir), "stream")
+    ratio = timeline.starvation_ratio(served(spark, sf_dir), "stream", RUN_START_US)
     return ratio.select(
         "stream", "shards", "wait_us", "service_us", r6(F.col("starvation")).alias("starvation")
     )
@@ -324,12 +329,12 @@ def starvation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "consumer_wait",
-    f"WITH {SERVED} SELECT stream, event_id, coalesce(start_us - lag(finish_us) OVER "
+    f"WITH {SERVED} SELECT stream, event_id, start_us - coalesce(lag(finish_us) OVER "
     "(PARTITION BY stream ORDER BY ts_us, event_id), 0) AS wait_us FROM served",
 )
 def consumer_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = served_log(spark, sf_dir).select("stream", *STREAM_ORDER, "start_us", "finish_us")
-    waits = timeline.consumer_wait(log, "stream", STREAM_ORDER)
+    waits = timeline.consumer_wait(log, "stream", STREAM_ORDER, RUN_START_US)
     return waits.select("stream", "event_id", "wait_us")
 
 

@@ -36,9 +36,16 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_join(documents(spark, sf_dir), labels, "doc_id")
 
 
-def doc_rows(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG) -> DataFrame:
-    """``doc_id, part, x, y, n_tokens``: whole labelled documents as rows of fixed length."""
-    docs = labelled_documents(spark, sf_dir).select(
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text, y`` of every document; y is null where there is no label."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("y"))
+    return documents(spark, sf_dir).join(labels, "doc_id", "left")
+
+
+def doc_rows(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG, labelled: bool = True) -> DataFrame:
+    """``doc_id, part, x, y, n_tokens``: whole documents, by default the labelled ones, as rows of fixed length."""
+    source = labelled_documents if labelled else all_documents
+    docs = source(spark, sf_dir).select(
         "doc_id", "y", token_ids(F.col("text"), config.vocab).alias("tokens")
     )
     rows = docs.select(
@@ -57,12 +64,12 @@ def doc_rows(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG) -> D
     )
 
 
-def doc_shards(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG) -> DataFrame:
+def doc_shards(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG, labelled: bool = True) -> DataFrame:
     """Document rows numbered in (doc_id, part) order and cut into shards.
 
     The rows are staged: numbering passes over the keys, and must not tokenize all texts again.
     """
-    rows = stage(doc_rows(spark, sf_dir, config), "doc-rows")
+    rows = stage(doc_rows(spark, sf_dir, config, labelled), "doc-rows")
     return assign_shards(rows, ["doc_id", "part"], config.batch_size)
 
 

@@ -23,6 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 # -- common table expressions of the SQL side ------------------------------------------------------
 
+# Labelled documents only; ALL_SAMPLES below has every document.
 DOC_WORDS = """
 doc_words AS (
   SELECT d.doc_id, l.quality::BIGINT AS y,
@@ -49,6 +50,8 @@ tokens AS (
   FROM words w JOIN samples s ON s.doc_id = w.doc_id AND s.part = w.pos // 1024)"""
 )
 
+ALL_SAMPLES = DOC_SAMPLES.replace("FROM documents d JOIN labels", "FROM documents d LEFT JOIN labels")
+
 LINES = """
 lines AS (
   SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
@@ -115,12 +118,12 @@ summed AS (
   SELECT *, sum(service_us) OVER w AS c FROM arrivals
   WINDOW w AS (PARTITION BY stream ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)),
 topped AS (
-  SELECT *, max(ts_us - (c - service_us)) OVER w AS m FROM summed
+  SELECT *, greatest(max(ts_us - (c - service_us)) OVER w, 0) AS m FROM summed
   WINDOW w AS (PARTITION BY stream ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)),
 served AS (
   SELECT stream, event_id, shard_id, ts_us, service_us, bytes, (c + m)::BIGINT AS finish_us,
          (c + m - service_us)::BIGINT AS start_us,
-         coalesce(m - lag(m) OVER w, 0)::BIGINT AS wait_us,
+         (m - coalesce(lag(m) OVER w, 0))::BIGINT AS wait_us,
          (c + m - service_us - ts_us)::BIGINT AS queue_us
   FROM topped WINDOW w AS (PARTITION BY stream ORDER BY ts_us, event_id))"""
 )

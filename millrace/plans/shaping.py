@@ -32,7 +32,7 @@ from millrace.operators.batching import (
 )
 from millrace.operators.joins import unlabelled
 from millrace.plans import inputs
-from millrace.plans.registry import ARRIVALS, DOC_SAMPLES, LINES, LISTING, query
+from millrace.plans.registry import ALL_SAMPLES, ARRIVALS, DOC_SAMPLES, LINES, LISTING, query
 from millrace.session import stage
 from millrace.sources.synth import fill_batches, rows_of, stalled_samples, uniform_samples
 
@@ -165,13 +165,13 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pad_or_cut",
-    f"WITH {DOC_SAMPLES}, t AS (SELECT sample_id, sum(token)::BIGINT AS token_sum, "
+    f"WITH {ALL_SAMPLES}, t AS (SELECT sample_id, sum(token)::BIGINT AS token_sum, "
     "sum(token * (pos + 1))::BIGINT AS place_sum FROM tokens GROUP BY 1) "
     "SELECT doc_id, part, 1024::BIGINT AS row_len, n_tokens, coalesce(token_sum, 0) AS token_sum, "
     "coalesce(place_sum, 0) AS place_sum FROM samples s LEFT JOIN t ON t.sample_id = s.sample_id",
 )
 def pad_or_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.doc_rows(spark, sf_dir).select(
+    return inputs.doc_rows(spark, sf_dir, labelled=False).select(
         "doc_id",
         "part",
         F.size("x").cast("bigint").alias("row_len"),

@@ -10,7 +10,7 @@ from millrace.operators import model
 from millrace.operators.joins import embedding_lookup
 from millrace.plans import inputs
 from millrace.plans.inputs import CONFIG, fixed_weights
-from millrace.plans.registry import DOC_SAMPLES, query, weight_sql
+from millrace.plans.registry import ALL_SAMPLES, DOC_SAMPLES, query, weight_sql
 from millrace.plans.shaping import r6
 from millrace.session import fresh_dir
 
@@ -26,13 +26,13 @@ def weights(spark: SparkSession) -> DataFrame:
     return ids.select("token", F.array(weight(F.col("token"), 0), weight(F.col("token"), 1)).alias("w"))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.doc_shards(spark, sf_dir).select("shard_id", "sample_id", "x", "y")
+def samples(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    return inputs.doc_shards(spark, sf_dir, labelled=labelled).select("shard_id", "sample_id", "x", "y")
 
 
 @query(
     "embedding_lookup",
-    f"""WITH {DOC_SAMPLES}, vecs AS (
+    f"""WITH {ALL_SAMPLES}, vecs AS (
       SELECT vec_id, unnest(range({DIM})) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings),
     hits AS (
       SELECT CASE WHEN token = 0 THEN -1 ELSE token % (SELECT count(*) FROM embeddings) END AS vec_id,
@@ -48,7 +48,7 @@ def embedding_lookup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = inputs.embedding_table(spark, sf_dir)
     count = table.count()
     # Padding and id 0 both look up the zero vector, and so does an id that maps to vector 0.
-    ids = samples(spark, sf_dir).select(F.explode("x").alias("id"))
+    ids = samples(spark, sf_dir, labelled=False).select(F.explode("x").alias("id"))
     tokens = ids.groupBy((F.col("id") % count).alias("token")).agg(F.count(F.lit(1)).alias("times"))
     looked = embedding_lookup(tokens, table, DIM).where(F.col("token") != 0)
     micro = F.transform("vec", lambda v: F.floor(v.cast("double") * 1000000).cast("bigint"))
@@ -59,26 +59,24 @@ def embedding_lookup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SCORED = (
-    DOC_SAMPLES
-    + f""",
+_SCORES = f""",
 scored AS (
   SELECT s.sample_id, s.y, coalesce(z0, 0) + {weight_sql("'-1'", 0)} AS z0,
          coalesce(z1, 0) + {weight_sql("'-1'", 1)} AS z1
   FROM samples s LEFT JOIN (
     SELECT sample_id, sum({weight_sql("token", 0)}) AS z0, sum({weight_sql("token", 1)}) AS z1
     FROM tokens WHERE token <> 0 GROUP BY 1) t ON t.sample_id = s.sample_id)"""
-)
+_SCORED, _ALL_SCORED = DOC_SAMPLES + _SCORES, ALL_SAMPLES + _SCORES
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.score(samples(spark, sf_dir), weights(spark), CONFIG)
+def scored(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    return model.score(samples(spark, sf_dir, labelled), weights(spark), CONFIG)
 
 
-@query("score", f"WITH {_SCORED} SELECT sample_id, y, z0, z1 FROM scored")
+@query("score", f"WITH {_ALL_SCORED} SELECT sample_id, y, z0, z1 FROM scored")
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     logits = [F.get("logits", F.lit(k)).alias(f"z{k}") for k in range(2)]
-    return scored(spark, sf_dir).select("sample_id", "y", *logits)
+    return scored(spark, sf_dir, labelled=False).select("sample_id", "y", *logits)
 
 
 @query(
@@ -93,10 +91,10 @@ def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "predict",
-    f"WITH {_SCORED} SELECT sample_id, CASE WHEN z1 > z0 THEN 1 ELSE 0 END::BIGINT AS class FROM scored",
+    f"WITH {_ALL_SCORED} SELECT sample_id, CASE WHEN z1 > z0 THEN 1 ELSE 0 END::BIGINT AS class FROM scored",
 )
 def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("sample_id", model.predict(F.col("logits")).alias("class"))
+    return scored(spark, sf_dir, labelled=False).select("sample_id", model.predict(F.col("logits")).alias("class"))
 
 
 @query(
