@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import FeedConfig
-from millrace.operators.batching import order_shards, unpack_shards
+from millrace.operators.batching import unpack_shards
 from millrace.operators.joins import pending_shards
 from millrace.plans import inputs
 from millrace.plans.inputs import CONFIG, phase_log_of
@@ -112,17 +112,17 @@ def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_ordered", _log_sql(256, ", row_number() OVER (ORDER BY s.shard_id) AS place"))
 def stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order in which shards are taken: lowest number first among all that are there."""
+    """The order in which shards are taken, one per micro-batch, as recorded while they are taken."""
     shards = published(spark, sf_dir, STREAM_CONFIG)
     run_dir = fresh_dir(spark, "feed")
     log = shard_log_handler(f"{run_dir}/log", "run")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         log(batch, batch_id)
-        places = order_shards(batch.select("shard_id").distinct())
-        append_log(places.withColumnRenamed("rank", "place"), f"{run_dir}/places", "run", batch_id)
+        place = F.lit(batch_id + 1).cast("bigint").alias("place")
+        append_log(batch.select("shard_id", place).distinct(), f"{run_dir}/places", "run", batch_id)
 
-    drain_shards(spark, shards, run_dir, handle)
+    drain_shards(spark, shards, run_dir, handle, 1)
     rows = spark.read.schema(FEED_LOG).parquet(f"{run_dir}/log")
     places = spark.read.schema("shard_id bigint, place bigint").parquet(f"{run_dir}/places")
     return rows.join(places, "shard_id").select(*LOG_COLUMNS, "place")

@@ -15,7 +15,7 @@ from millrace.operators.model import log_shard, train_shard, zero_state
 from millrace.schemas import MODEL_STATE
 from millrace.sinks.log import append_log, latest
 from millrace.sinks.publish import retire_consumed
-from millrace.sources.typed import in_shard_order, stream_shards
+from millrace.sources.typed import read_shards, stream_shards
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -56,11 +56,41 @@ def shard_log_handler(log_path: str, run_id: str) -> Handler:
     return handle
 
 
-def ordered_copy_handler(path: str, run_id: str) -> Handler:
-    """Write the samples of each micro-batch in shard order, lowest number first."""
+def in_number_order(
+    spark: SparkSession, shard_path: str, run_dir: str, handler: Handler, retire: bool = False
+) -> Handler:
+    """``handler`` on the lowest shard numbers that are there and not yet taken, as many as a micro-batch brings.
+
+    The file source hands out shards by the time of their files. What it hands out says here only how many may be
+    taken; which ones follows from the numbers alone. They are written down, in one file, before they are handled, so a
+    micro-batch that runs again takes the same ones. ``retire`` deletes shards of earlier micro-batches once they have
+    been both taken and handed out.
+    """
+    taken, handed = f"{run_dir}/taken", f"{run_dir}/handed"
+    kept = "shard_id bigint, run_id string, batch_id bigint"
+    for path in (taken, handed):
+        append_log(spark.createDataFrame([], "shard_id bigint"), path, "order", -1)
+
+    def numbers(path: str) -> DataFrame:
+        return spark.read.schema(kept).parquet(path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        append_log(in_shard_order(batch), path, run_id, batch_id)
+        append_log(batch.select("shard_id").distinct(), handed, "order", batch_id)
+        earlier = F.col("batch_id") < batch_id
+        before = numbers(taken).where(earlier).select("shard_id")
+        if numbers(taken).where(F.col("batch_id") == batch_id).isEmpty():
+            allowed = numbers(handed).where(F.col("batch_id") == batch_id).count()
+            there = read_shards(spark, shard_path).select("shard_id").distinct()
+            free = there.join(before, "shard_id", "left_anti")
+            append_log(free.orderBy("shard_id").limit(allowed).coalesce(1), taken, "order", batch_id)
+        mine = numbers(taken).where(F.col("batch_id") == batch_id).select("shard_id")
+        low, high, n = mine.agg(F.min("shard_id"), F.max("shard_id"), F.count(F.lit(1))).first()
+        if n:
+            rows = read_shards(spark, shard_path).where(F.col("shard_id").between(low, high))
+            handler(rows if high - low + 1 == n else rows.join(mine, "shard_id", "left_semi"), batch_id)
+        if retire:
+            both = numbers(handed).where(earlier).select("shard_id").join(before, "shard_id", "left_semi")
+            retire_consumed(spark, shard_path, both)
 
     return handle
 
@@ -73,9 +103,10 @@ def drain_shards(
     max_in_flight: int | None = None,
     retire: bool = False,
 ) -> StreamingQuery:
-    """Take all published shards, at most ``max_in_flight`` per micro-batch, and stop at the end."""
-    stream = stream_shards(spark, shard_path, max_in_flight, retire=retire)
-    query = run_stream(stream, handler, f"{run_dir}/checkpoint")
+    """Take all published shards, lowest number first, at most ``max_in_flight`` per micro-batch, and stop at the end."""
+    stream = stream_shards(spark, shard_path, max_in_flight)
+    ordered = in_number_order(spark, shard_path, run_dir, handler, retire)
+    query = run_stream(stream, ordered, f"{run_dir}/checkpoint")
     query.awaitTermination()
     return query
 
@@ -83,7 +114,7 @@ def drain_shards(
 def sweep(spark: SparkSession, shard_path: str, log: DataFrame) -> int:
     """Delete the shards that a finished query has logged.
 
-    The source deletes a file only when a later micro-batch is planned, so the last ones stay behind.
+    A shard is deleted only in a later micro-batch, so the last ones stay behind.
     """
     return retire_consumed(spark, shard_path, log.select("shard_id"))
 

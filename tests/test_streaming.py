@@ -10,6 +10,7 @@ from millrace.operators import model as M
 from millrace.session import fresh_dir, local_path
 from millrace.sinks.publish import publish_shards
 from millrace.sources.synth import synth_uniform
+from millrace.sources.typed import in_shard_order
 from millrace.streaming import feed as S
 
 TINY = FeedConfig(batch_size=8, seq_len=5, vocab=50)
@@ -46,12 +47,34 @@ def test_micro_batch_is_in_shard_order(spark):
     seen = []
 
     def handle(batch, batch_id):
-        seen.extend((r["shard_id"], r["pos_in_shard"]) for r in S.in_shard_order(batch).collect())
+        seen.extend((r["shard_id"], r["pos_in_shard"]) for r in in_shard_order(batch).collect())
 
     S.drain_shards(spark, path, run, handle)
     assert seen == [(s, p) for s in (2, 7, 10) for p in range(8)]
 
 
+def test_micro_batches_are_in_number_order(spark):
+    """Published 10, 2, 7, 5 in time; taken by number, also where a micro-batch fails and where deletions go along."""
+    for in_flight, retire in ((1, False), (1, True), (3, True)):
+        path, run = fresh_dir(spark, "shards"), fresh_dir(spark, "run")
+        for shard in (10, 2, 7, 5):
+            publish_shards(synth_uniform(spark, 11, 8, TINY).where(F.col("shard_id") == shard), path, "append")
+        seen, failed = [], []
+
+        def handle(batch, batch_id):
+            if batch_id == 1 and not failed:
+                failed.append(batch_id)
+                raise RuntimeError("lost")
+            held = in_shard_order(batch).collect()
+            assert len(held) % 8 == 0
+            seen.extend(r["shard_id"] for r in held[::8])
+
+        with pytest.raises(Exception, match="lost"):
+            S.drain_shards(spark, path, run, handle, in_flight, retire)
+        S.drain_shards(spark, path, run, handle, in_flight, retire)
+        assert seen == [2, 5, 7, 10]
+
+
 def test_restart_neither_loses_nor_doubles(spark, shards):
     run = fresh_dir(spark, "run")
     log = S.shard_log_handler(f"{run}/log", "r")
@@ -102,7 +125,7 @@ def train(spark, shards, run, handler=None):
 def test_training_from_the_stream_is_training_from_the_table(spark):
     path = fresh_dir(spark, "shards")
     samples = synth_uniform(spark, 3, 8, TINY)
-    for shard in range(3):  # the order of publishing is the order of training
+    for shard in (2, 0, 1):  # trained by number, whatever the order of publishing
         publish_shards(samples.where(F.col("shard_id") == shard), path, "append")
     want, _ = M.train_over_shards(samples, TINY, fresh_dir(spark, "t"))
     run = fresh_dir(spark, "run")

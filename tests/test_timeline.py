@@ -58,6 +58,25 @@ def test_arrivals_at_once_and_far_apart(spark):
     assert waits(100) == [0, 90, 90, 90, 90]
 
 
+@pytest.mark.parametrize("start", [0, 900])
+def test_first_wait_counts_from_the_start_of_the_run(spark, many_ranges, start):
+    """A loop whose consumer is ready from the start on; it may start after some arrivals."""
+    rows = arrivals(5)
+    free, want = {}, {}
+    for stream, i, _, ts, service, _ in sorted(rows, key=lambda r: (r[0], r[3], r[1])):
+        ready = free.get(stream, start)
+        begin = max(ts, ready)
+        want[i] = (begin, begin + service, begin - ready)
+        free[stream] = begin + service
+    got = T.starvation(spark.createDataFrame(rows, ARRIVALS), "stream", ORDER, start)
+    assert {r["event_id"]: (r["start_us"], r["finish_us"], r["wait_us"]) for r in got.collect()} == want
+    again = T.consumer_wait(got.withColumnRenamed("wait_us", "w"), "stream", ORDER, start)
+    assert again.where(F.col("w") != F.col("wait_us")).count() == 0
+    for r in T.starvation_ratio(got, "stream", start).collect():
+        mine = [i for i, row in enumerate(rows) if row[0] == r["stream"]]
+        assert r["starvation"] == pytest.approx(sum(want[i][2] for i in mine) / (max(want[i][1] for i in mine) - start))
+
+
 def test_consumer_wait_is_the_wait_of_the_schedule(spark, many_ranges):
     log = T.starvation(spark.createDataFrame(arrivals(4), ARRIVALS), "stream", ORDER)
     again = T.consumer_wait(log.withColumnRenamed("wait_us", "w"), "stream", ORDER)
