@@ -12,7 +12,7 @@ tested part is too short is dropped, and the search goes on behind it.
 from __future__ import annotations
 
 import re._parser as regex_parser
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -203,7 +203,9 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
         if trigram_query(rule) is not None:
             here = F.coalesce(F.array_contains("_asked", no), F.lit(False)) & here
         elif rule.tested == 0 and re_class_run(rule.pattern):
-            here = text.rlike(f"{rule.pattern[:-1]}{{{rule.least},}}")  # a run long enough
+            # Only runs long enough are looked for, so the many short ones of a long text are never placed.
+            rule = replace(rule, pattern=f"{rule.pattern[:-1]}{{{rule.least},}}")
+            here = text.rlike(rule.java)
         return F.when(here, _spans(text, rule, no)).otherwise(none)
 
     spans = F.array_sort(F.concat(*[of(no, rule) for no, rule in enumerate(rules)]))

@@ -210,6 +210,13 @@ def test_secret_scan(spark, docs):
     assert "hunter2hunter2" not in clean.where("doc_id = 11").first().text
 
 
+def test_many_short_runs_beside_a_long_one(spark):
+    """A long text of short hexadecimal runs takes no more than a pass over it."""
+    text = "faded cafe beside a bed " * 2000 + "0af" * 20 + " abc " + "\U0001f600" + "9" * 32
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert got.spans == ",".join(f"hex:{a}:{b}" for a, _, b in plain_spans(text)) and got.n_hex == 2
+
+
 def test_trigram_queries():
     of = {r.kind: secret_scan.trigram_query(r) for r in secret_scan.RULES}
     assert of["hex"] is None and of["access"] == {frozenset({"AKI", "KIA"})}
