@@ -24,8 +24,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies."""
-    return near_dup.keep_first(docs)
+    """The document of least id of each group of near copies, texts that share four fifths of their shingles."""
+    return near_dup.keep_first(docs, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@
    than ``node_limit`` members branches: each member goes on to ``BRANCHES`` children, chosen by minwise tokens at places
    that the node draws. A pair of similarity s stays together at the root with probability s and then survives a
    branching with probability 1 - (1 - s * rest)**2, so T trees miss a pair at 0.85 with probability 0.15**T where nodes
-   are small, and 0.18**T where they go deep: below 10**-5 for 8 trees.
+   are small, and 0.18**T where they go deep: below 10**-5 for 8 trees. At 0.8 it is 0.2**T and 0.25**T, below 2 * 10**-5.
 3. Before a large node branches, all its members are compared with one pivot. Members linked to the pivot are in one
    component. 1 - similarity is a metric, so what is linked to one of them has a similarity of at least 2 * threshold - 1 with
    the pivot; if no unlinked member comes near that, they leave the node. So a hot group of near copies takes one pass and is
@@ -21,6 +21,7 @@ Sketches only choose what is confirmed: a pair at the threshold is overlooked by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ TREES = 8
 BRANCHES = 2
 DEPTH = 6
 NODE_LIMIT = 4096
-# Least share of equal sketch places of a pair that is confirmed: four deviations below the threshold.
-MARGIN = 0.13
+# A pair is confirmed if its share of equal sketch places is at most this many deviations below what is asked for.
+DEVIATIONS = 4.12
 FILTER_BITS = 23
 
 _SPACE = np.zeros(256, bool)
@@ -56,6 +57,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def least_alike(similarity: float) -> float:
+    """Least share of equal sketch places at which two sets may have this similarity."""
+    held = min(max(similarity, 0.0), 1.0)
+    return max(0.0, held - DEVIATIONS * math.sqrt(held * (1 - held) / SKETCH))
+
+
 def _places(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1)
@@ -371,7 +378,7 @@ def near_duplicates(
     others with its shingles, or null, and is not kept. No rows give none. Other columns are not passed on.
     """
     every = stage(document_sets(docs, trees, id_col, text_col), "near-documents")
-    least = max(0.0, percent / 100 - MARGIN)
+    least = least_alike(percent / 100)
     classes = stage(
         every.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(
             F.min("doc_id").alias("c"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")
@@ -444,12 +451,12 @@ def _around_pivots(
         ),
         "near-compared",
     )
-    likely = compared.where((F.col("like") >= percent / 100 - MARGIN) & (F.col("c") != F.col("pivot")))
+    likely = compared.where((F.col("like") >= least_alike(percent / 100)) & (F.col("c") != F.col("pivot")))
     links = _confirmed(likely.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct(), classes, docs, percent, id_col, text_col)
     marked = compared.join(links.select(F.col("a").alias("pivot"), F.col("b").alias("c"), F.lit(True).alias("tied")), ["pivot", "c"], "left")
     marked = marked.withColumn("tied", F.coalesce("tied", F.col("c") == F.col("pivot")))
     # Unlinked members that may be linked to a linked one.
-    close = (~F.col("tied")) & (F.col("like") >= 2 * percent / 100 - 1 - MARGIN)
+    close = (~F.col("tied")) & (F.col("like") >= least_alike(2 * percent / 100 - 1))
     open_nodes = marked.where(close).select("node").distinct().withColumn("open", F.lit(True))
     going = marked.join(open_nodes, "node", "left").where((~F.col("tied")) | F.coalesce("open", F.lit(False)))
     return going, links

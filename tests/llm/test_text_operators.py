@@ -132,22 +132,31 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("limit, depth", [(4096, 6), (4, 6), (4, 1)])
-def test_near_duplicates(spark, limit, depth):
+def least_reachable(sets, percent):
+    """Least id that each of (id, set) reaches, from all pairs."""
+    label = {i: i for i, _ in sets}
+    for at, (i, s) in enumerate(sets):
+        for j, o in sets[:at]:
+            if label[i] != label[j] and 100 * len(s & o) >= percent * len(s | o):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("limit, depth, percent", [(4096, 6, 85), (4, 6, 85), (4, 1, 85), (4096, 6, 80)])
+def test_near_duplicates(spark, limit, depth, percent):
     base = prose(150, 7).split(" ")
     rows = [(100 + i, " ".join(base[: 7 * i] + [f"edit{i}"] + base[7 * i + 1 :])) for i in range(12)]
     chain = prose(120, 8).split(" ")
     rows += [(200 + i, " ".join(chain[4 * i : 100 + 4 * i])) for i in range(6)]
+    wide = prose(140, 9).split(" ")
+    rows += [(300 + i, " ".join(wide[9 * i : 100 + 9 * i])) for i in range(5)]  # neighbours share 0.83
     rows += [*TEXTS, (50, prose(150, 7).upper()), (51, "one two"), (52, "ONE  two"), (53, "")]
     table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, kept string")
-    got = near_dup.near_duplicates(table, node_limit=limit, depth=depth).collect()
+    got = near_dup.near_duplicates(table, percent, node_limit=limit, depth=depth).collect()
     known = [(i, s) for i, t in rows for s in [shingles(t)] if s and i is not None]
-    label = {i: i for i, _ in known}
-    for i, s in known:
-        for j, o in known:
-            if 100 * len(s & o) >= 85 * len(s | o) and label[i] != label[j]:
-                low, high = sorted((label[i], label[j]))
-                label = {k: low if v == high else v for k, v in label.items()}
+    label = least_reachable(known, percent)
+    assert (label[304] == 300) == (percent == 80)
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
