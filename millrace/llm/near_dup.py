@@ -43,6 +43,8 @@ NODE_LIMIT = 4096
 # A pair is confirmed if its share of equal sketch places is at most this many deviations below what is asked for.
 DEVIATIONS = 4.12
 FILTER_BITS = 23
+# Bytes of a word that are hashed one by one.
+HEAD = 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,21 +78,23 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    # Horner's rule over each word, a byte of all words at a time: lengths are small, and rare long ones few.
+    # Horner's rule over the first bytes of each word, a byte of all words at a time; what a word has beyond them is added in
+    # chunks that are mixed with their place. Nothing depends on the other words of the text.
     lengths = ends - starts
     hashes = lengths.astype(np.uint64)
     order = np.argsort(lengths, kind="stable")
     sorted_lengths = lengths[order]
-    at = 0
-    for k in range(int(sorted_lengths[min(len(order) - 1, int(len(order) * 0.999))])):
-        at = np.searchsorted(sorted_lengths, k, side="right")
-        rest = order[at:]
+    for k in range(min(HEAD, int(sorted_lengths[-1]))):
+        rest = order[np.searchsorted(sorted_lengths, k, side="right") :]
         hashes[rest] = (hashes[rest] ^ raw[starts[rest] + k]) * _R + np.uint64(k)
-    done = int(sorted_lengths[min(len(order) - 1, int(len(order) * 0.999))])
-    for i in order[np.searchsorted(sorted_lengths, done, side="right") :]:
-        tail = raw[starts[i] + done : ends[i]].tobytes()
-        for k in range(0, len(tail), 8):
-            hashes[i : i + 1] = _mix(hashes[i : i + 1] ^ np.uint64(int.from_bytes(tail[k : k + 8], "little"))) * _R
+    long = order[np.searchsorted(sorted_lengths, HEAD, side="right") :]
+    if len(long):
+        tails = [raw[a + HEAD : b].tobytes() for a, b in zip(starts[long], ends[long])]
+        chunks = np.frombuffer(b"".join(t + bytes(-len(t) % 8) for t in tails), "<u8")
+        sizes = np.array([(len(t) + 7) // 8 for t in tails])
+        begin = np.cumsum(sizes) - sizes
+        place = (np.arange(len(chunks)) - np.repeat(begin, sizes)).astype(np.uint64)
+        hashes[long] = _mix(hashes[long]) + np.add.reduceat(_mix(chunks ^ _mix((place + np.uint64(1)) * _R)), begin)
     hashes = _mix(hashes)
     n = max(1, len(hashes) - size + 1)
     out = np.full(n, min(len(hashes), size), np.uint64)

@@ -167,6 +167,21 @@ def test_near_duplicates(spark, limit, depth, percent):
     assert all(r.n_shingles == sizes[r.doc_id] for r in got)
 
 
+def test_a_word_is_hashed_from_its_own_bytes():
+    """Long words count as the same whatever the lengths of the other words of their texts."""
+    words = prose(1500, 12).split(" ")
+    for i in range(0, 1500, 60):
+        words[i] = "w" * (i % 7) + f"{i}/" * 9
+    texts = [" ".join([*words, *tail]) for tail in (["x"], ["y" * 33] * 6, ["z" * 3000, "u" * 70], ["\u00e9" * 500] * 3)]
+    texts.append(" ".join(words[:700]))  # no more than a thousand words
+    for one in texts:
+        for two in texts:
+            both = np.intersect1d(near_dup.shingle_set(one), near_dup.shingle_set(two))
+            assert len(both) == len(shingles(one) & shingles(two))
+    some = ["a" * n + x for n in range(1, 100) for x in ("", "b", "bc")] + ["b" * 8 + "a" * 40, "a" * 40 + "b" * 8, "a" * 32 + "b" * 8 + "a" * 8]
+    assert len({near_dup.shingle_set(w)[0] for w in some}) == len(set(some))
+
+
 def plain_figures(text):
     text = text or ""
     w = WORD.findall(text)
