@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join and connected components.
 
 1. Each text becomes the set of its distinct word shingles. Equal sets are one class from here on, so exact copies cost
-   one row each, whatever their number.
+   one row each, whatever their number. A class is known by a key of 16 bytes made of its set, never by an id.
 2. Chosen paths: in each of several independent trees a class goes to the node of its first minwise token. A node with more
    than ``node_limit`` members branches: each member goes on to ``BRANCHES`` children, chosen by minwise tokens at places
    that the node draws. A pair of similarity s stays together at the root with probability s and then survives a
@@ -14,7 +14,8 @@
 4. Small nodes are compared exhaustively: first by sketches of 128 minwise tokens, which leaves the members that have a likely
    partner in the node; then, for these, by their full sets, all pairs at once as products of membership matrices. A node
    gives a spanning forest of its links, so never more rows than members. A node met in several trees is compared once.
-5. Confirmed links are joined to components by alternating large-star and small-star steps.
+5. Classes that share an id are linked. Confirmed links are joined to components by alternating large-star and small-star
+   steps.
 
 Sketches only choose what is confirmed: a pair at the threshold is overlooked by its sketch about once in 60,000 times.
 """
@@ -29,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from millrace.llm.encoding import text_rows
 from millrace.session import stage
@@ -119,33 +121,31 @@ def signature(shingles: np.ndarray, trees: int = TREES) -> tuple[bytes, bytes]:
     return least[SKETCH:].tobytes(), ((least[:SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16).tobytes()
 
 
-def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+def class_key(shingles: np.ndarray) -> bytes | None:
+    """16 bytes that stand for a set; none for the empty one."""
     if not len(shingles):
-        return 0, 0
-    return (
-        int(np.add.reduce(_mix(shingles)).astype(np.int64)),
-        int(np.add.reduce(_mix(shingles ^ _R) * _R).astype(np.int64)),
-    )
+        return None
+    return np.array([np.add.reduce(_mix(shingles)), np.add.reduce(_mix(shingles ^ _R) * _R)], np.uint64).tobytes()
 
 
 def document_sets(docs: DataFrame, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, fp1, fp2, tokens, sketch`` of every whole text; nothing is shuffled."""
+    """``doc_id, n_shingles, c, tokens, sketch`` of every whole text, ``c`` the key of its class; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_rows(batches):
             rows = []
             for text in texts:
                 held = shingle_set(text)
-                rows.append((len(held), *_fingerprint(held), *(signature(held, trees) if len(held) else (None, None))))
-            n, one, two, tokens, sketches = zip(*rows)
+                rows.append((len(held), class_key(held), *(signature(held, trees) if len(held) else (None, None))))
+            n, c, tokens, sketches = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "fp1", "fp2", "tokens", "sketch"],
+                [keys, pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "c", "tokens", "sketch"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, fp1 bigint, fp2 bigint, tokens binary, sketch binary"
+        run, f"doc_id {kind}, n_shingles bigint, c binary, tokens binary, sketch binary"
     )
 
 
@@ -275,43 +275,50 @@ def _node_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").where("a < b").distinct()
 
 
-def _full_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored ``c, held``: the full sets of the classes ``c`` that are asked for.
-
-    Texts are not shuffled: a bit filter of fixed size (1 MB) over the ids that are asked for picks the texts, and only the
-    sets made of these are sent on.
-    """
+def _likely(docs: DataFrame, here: str, asked: DataFrame, there: str) -> DataFrame:
+    """The rows whose value of column ``here`` may be one of column ``there``, by a bit filter of fixed size (1 MB)."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     one = F.lit(1).cast("bigint")
-    words = asked.select(bit("c").alias("x")).groupBy(F.expr("x div 64").alias("_word")).agg(
+    words = asked.select(bit(there).alias("x")).groupBy(F.expr("x div 64").alias("_word")).agg(
         F.bit_or(F.call_function("shiftleft", one, (F.col("x") % 64).cast("int"))).alias("_bits")
     )
-    here = bit(id_col)
-    picked = docs.select(id_col, text_col).join(F.broadcast(words), F.floor(here / 64) == F.col("_word")).where(
-        F.col("_bits").bitwiseAND(F.call_function("shiftleft", one, (here % 64).cast("int"))) != 0
+    at = bit(here)
+    picked = docs.join(F.broadcast(words), F.floor(at / 64) == F.col("_word")).where(
+        F.col("_bits").bitwiseAND(F.call_function("shiftleft", one, (at % 64).cast("int"))) != 0
     )
+    return picked.select(docs.columns)
+
+
+def _full_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored ``c, held``: the full sets of the classes ``c`` that are asked for.
+
+    Texts are not shuffled: a bit filter over the least ids of the classes picks the texts, and only the sets made of these
+    that may be asked for are sent on, each once a task. A class without any id is looked for among the rows without one.
+    """
+    picked = _likely(docs.select(id_col, text_col), id_col, asked.join(classes.select("c", "least_id"), "c"), "least_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_rows(batches):
-            held = [shingle_set(t) for t in texts]
-            prints = [_fingerprint(s) for s in held]
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.tobytes() for s in held], pa.binary())],
-                ["c", "fp1", "fp2", "held"],
-            )
+        seen: set[bytes] = set()
+        for _, texts in text_rows(batches):
+            held: dict[bytes, bytes] = {}
+            for text in texts:
+                shingles = shingle_set(text)
+                key = class_key(shingles)
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    held[key] = shingles.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.binary())], ["c", "held"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = picked.select(id_col, text_col).mapInArrow(sets, f"c {kind}, fp1 bigint, fp2 bigint, held binary")
-    # Of a repeated id, the text that stands for its class.
-    found = found.join(classes.select("c", "fp1", "fp2"), ["c", "fp1", "fp2"]).dropDuplicates(["c"]).select("c", "held")
-    return stage(found.join(asked, "c", "left_semi"), "near-sets")
+    found = _likely(picked.mapInArrow(sets, "c binary, held binary"), "c", asked, "c")
+    # Rows of one key hold equal sets.
+    return stage(found.join(asked, "c", "left_semi").dropDuplicates(["c"]), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs ``a, b`` with 100 * intersection >= percent * union of their full sets."""
     asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     found = _full_sets(asked, classes, docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = classes.schema["c"].dataType.simpleString()
     wide = pairs.join(found.select(F.col("c").alias("a"), F.col("held").alias("x")), "a").join(
         found.select(F.col("c").alias("b"), F.col("held").alias("y")), "b"
     )
@@ -353,7 +360,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _nodes(placed: DataFrame) -> DataFrame:
     """``node, n, x`` of nodes with more than one member; x stands for the set of members."""
-    return placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("pivot")).where("n > 1")
+    return placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c")).alias("x")).where("n > 1")
 
 
 def _blocks(members: DataFrame, node_limit: int) -> DataFrame:
@@ -378,15 +385,24 @@ def near_duplicates(
     Words are runs of other than white space, A-Z in lower case; a text of fewer than five words is one shingle. Texts that
     are null, empty or without words have no shingles and are linked with nothing. ``component_id`` is the least id
     that links reach, the document's own included; ``kept`` says that it is its own. Repeated rows of an id are one
-    document, which reaches all that its texts reach. A null id is never least: its row has the component of the
-    others with its shingles, or null, and is not kept. No rows give none. Other columns are not passed on.
+    document, which reaches all that its texts reach. Rows without an id are documents of their own, linked by their texts
+    like any other; a null id is never least: such a row has the least id that it reaches, or null, and is not kept. No rows
+    give none. Other columns are not passed on.
     """
+    return _reached(docs, percent, trees, node_limit, depth, id_col, text_col).select(
+        F.col("doc_id").alias(id_col), "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    )
+
+
+def _reached(docs: DataFrame, percent: int, trees: int, node_limit: int, depth: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, n_shingles, c, root, component_id`` of every row; the root is the least class of a component."""
     every = stage(document_sets(docs, trees, id_col, text_col), "near-documents")
     least = least_alike(percent / 100)
     classes = stage(
-        every.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(
-            F.min("doc_id").alias("c"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")
-        ).where("c IS NOT NULL"),
+        every.where("c IS NOT NULL").groupBy("c").agg(
+            F.min("doc_id").alias("least_id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")
+        ),
         "near-classes",
     )
     sketches = classes.select("c", "sketch")
@@ -398,10 +414,10 @@ def near_duplicates(
         sizes = stage(_nodes(placed), "near-sizes")
         fit = sizes.where(F.col("n") <= node_limit).groupBy("n", "x").agg(F.min("node").alias("node"))
         small.append(placed.join(fit.select("node"), "node"))
-        large = sizes.where(F.col("n") > node_limit).groupBy("n", "x").agg(F.min("node").alias("node"), F.min("pivot").alias("pivot"))
-        large = stage(large, "near-large")
+        large = stage(sizes.where(F.col("n") > node_limit).groupBy("n", "x").agg(F.min("node").alias("node")), "near-large")
         if large.isEmpty():
             break
+        large = stage(placed.join(large, "node").groupBy("node", "n").agg(F.min("c").alias("pivot")), "near-pivots")
         members = placed.join(large, "node").join(sketches, "c")
         if level == depth:
             small.append(_blocks(members, node_limit))
@@ -418,19 +434,34 @@ def near_duplicates(
     nodes = nodes.join(once.select("node"), "node")
     sets = _full_sets(nodes.select("c").distinct(), classes, docs, id_col, text_col)
     links.append(stage(_node_links(nodes, sets, percent), "near-links"))
-    known = links[0]
-    for more in links[1:]:
+    shared = _of_shared_ids(every)
+    first = shared.groupBy("doc_id").agg(F.min("c").alias("a"))
+    known = shared.join(first, "doc_id").select("a", F.col("c").alias("b")).where("a < b")
+    for more in links:
         known = known.union(more)
-    labels = components(known)
-    reached = classes.select("fp1", "fp2", "n_shingles", "c").join(labels, "c", "left").select(
-        "fp1", "fp2", "n_shingles", F.coalesce("label", "c").alias("component_id")
+    tied = stage(components(known).join(classes.select("c", "least_id"), "c"), "near-tied")
+    least_ids = tied.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    tied = tied.join(least_ids, "label").select("c", F.col("label").alias("root"), "component_id")
+    reached = classes.select("c", "least_id").join(tied, "c", "left").select(
+        "c", F.coalesce("root", "c").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    out = every.select("doc_id", "n_shingles", "fp1", "fp2").join(reached, ["fp1", "fp2", "n_shingles"], "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(
-        F.col("doc_id").alias(id_col), "n_shingles", "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    rows = every.select("doc_id", "n_shingles", "c")
+    columns = ["doc_id", "n_shingles", "c", "root", "component_id"]
+    with_set = rows.where("c IS NOT NULL").join(reached, "c", "left").select(columns)
+    # A row without shingles is where the other texts of its id are.
+    by_id = shared.join(reached, "c").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    without = rows.where("c IS NULL").join(by_id, "doc_id", "left").withColumns(
+        {"root": F.lit(None).cast("binary"), "component_id": F.coalesce("component_id", "doc_id")}
     )
+    return with_set.union(without.select(columns))
+
+
+def _of_shared_ids(every: DataFrame) -> DataFrame:
+    """Stored ``doc_id, c``: the classes of ids whose rows are not all of one class."""
+    key = F.xxhash64("c")
+    several = every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low < high")
+    held = every.where("c IS NOT NULL").join(several.select("doc_id"), "doc_id", "left_semi")
+    return stage(held.select("doc_id", "c").distinct(), "near-shared")
 
 
 def _around_pivots(
@@ -466,8 +497,55 @@ def _around_pivots(
     return going, links
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of documents that are the least of their component, and those without an id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
-    gone = found.where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def keep_first(
+    docs: DataFrame,
+    percent: int = PERCENT,
+    trees: int = TREES,
+    node_limit: int = NODE_LIMIT,
+    depth: int = DEPTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of each component of ``near_duplicates``: one of its least id, or of its least class where it has no id.
+
+    Of several such rows, the one of least text that has a word. A row that has neither id nor word is a component. Texts are
+    shuffled only where an id or a text without one is repeated.
+    """
+    found = stage(_reached(docs, percent, trees, node_limit, depth, id_col, text_col), "near-found")
+    marks = stage(
+        found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
+            F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_n")
+        ).where("_gone OR _n > 1"),
+        "near-marks",
+    )
+    same = F.col(id_col) == F.col("_id")
+    kept = docs.where(F.col(id_col).isNotNull()).join(marks, same, "left_anti")
+    again = marks.where("NOT _gone")
+    if not again.isEmpty():
+        kept = kept.union(_one_row(docs.join(again, same, "left_semi"), id_col, docs.columns, text_col))
+    unnamed = found.where("doc_id IS NULL")
+    if not unnamed.isEmpty():
+        keyed = _with_class(docs.where(F.col(id_col).isNull()), text_col)
+        own = unnamed.where("component_id IS NULL AND c = root").select(F.col("c").alias("_c")).distinct()
+        kept = kept.union(keyed.where("_c IS NULL").select(docs.columns))
+        kept = kept.union(_one_row(keyed.join(own, "_c", "left_semi"), "_c", docs.columns, text_col))
+    return kept
+
+
+def _with_class(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows with the key ``_c`` of the class of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [class_key(shingle_set(t)) for _, texts in text_rows(iter([batch.select([text_col, text_col])])) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "_c"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_c", BinaryType())]))
+
+
+def _one_row(docs: DataFrame, key: str, columns: list[str], text_col: str) -> DataFrame:
+    """Of the rows of each key, the one of least text that has a word, the same on every run."""
+    blank = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    rest = [c for c in columns if c != text_col]
+    order = F.struct(blank, F.col(text_col), F.to_json(F.struct(*rest)))
+    return docs.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*columns), order).alias("_row")).select("_row.*")

@@ -167,6 +167,30 @@ def test_near_duplicates(spark, limit, depth, percent):
     assert all(r.n_shingles == sizes[r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_near_duplicates_of_repeated_and_missing_ids(spark, limit):
+    """A repeated id is one document, rows without an id are documents of their own, one row of each component is kept."""
+    text = {k: prose(120, 20 + n) for n, k in enumerate("abcdefgh")}
+    near = {k: t + " changed" for k, t in text.items()}
+    rows = [(1, text["a"]), (1, text["b"]), (2, near["b"]), (3, near["a"]), (4, text["c"]), (4, text["d"]), (4, ""), (0, near["d"])]
+    rows += [(5, text["e"])] * 3 + [(6, ""), (6, None), (None, near["e"]), (None, near["e"])]
+    rows += [(None, text["f"]), (None, text["f"]), (None, near["f"]), (None, ""), (None, None), (7, text["h"]), (8, near["h"] + " twice"), (9, text["g"])]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, k int").repartition(3)
+    got = near_dup.near_duplicates(table, node_limit=limit).collect()
+    assert len(got) == len(rows)
+    of = {1: 1, 2: 1, 3: 1, 4: 0, 0: 0, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
+    for r in got:
+        assert r.component_id == of[r.doc_id] if r.doc_id is not None else r.component_id in (5, None)
+        assert r.kept == (r.doc_id is not None and r.doc_id == of[r.doc_id])
+    assert Counter(r.component_id for r in got if r.doc_id is None) == {5: 2, None: 5}
+    first = near_dup.keep_first(table, node_limit=limit)
+    assert first.columns == table.columns
+    kept = first.collect()
+    assert all(rows[r.k] == (r.doc_id, r.text) for r in kept)
+    assert Counter(r.doc_id for r in kept) == {0: 1, 1: 1, 5: 1, 6: 1, 7: 1, 9: 1, None: 3}
+    assert sum(r.text in (text["f"], near["f"]) for r in kept) == 1 and Counter(r.text for r in kept)[""] >= 1
+
+
 def test_a_word_is_hashed_from_its_own_bytes():
     """Long words count as the same whatever the lengths of the other words of their texts."""
     words = prose(1500, 12).split(" ")
