@@ -1,11 +1,13 @@
 """Quality rules with adaptive thresholds, all in DataFrame expressions.
 
 Figures of a text are whole numbers. Their distribution in each language and source is held in a mergeable
-quantile sketch: counts of equal-width bins, here one bin per whole value up to a last one. Adding the counts of two
-sketches gives the sketch of both, so sketches are combined where the rows lie, merged once more into those of a
-language and of everything, and are of bounded size each. A quantile is exact to one bin.
+quantile sketch: counts of bins, one per whole value up to 5000 and above it 1024 per power of two, so there is no last
+bin. Adding the counts of two sketches gives the sketch of both, so sketches are combined where the rows lie, merged once
+more into those of a language and of everything, and are of bounded size each. A quantile is exact up to 5000, and to
+a thousandth above.
 
-From the quartiles of its group a figure gets a fence, quartile + 3 * spread + slack, in place of a fixed cutoff. A group
+From the quartiles of its group a figure gets a fence, quartile + 3 * spread + slack, in place of a fixed cutoff. A quartile
+counts as the outer end of its bin, so bins never make a fence narrower; figures are compared with it as they are. A group
 of few rows uses the sketch of its language, then that of all. The fences are joined to the rows, which are filtered by
 them.
 """
@@ -31,7 +33,9 @@ FIGURES = (
     ("dup_lines", 250, False),  # repeated lines per 1000 lines
     ("repeats", 200, False),  # repeated words per 1000 words
 )
-LAST_BIN = 5000
+# Up to here a bin is one value; above, bins are as wide as the power of two below the value over 1024.
+LINEAR = 5000
+BINS_LOG2 = 10
 SPREADS = 3
 BASE_LEAST_WORDS = 10
 
@@ -106,15 +110,30 @@ def _per(part: str, whole: str, scale: int = 1000) -> Column:
     return F.when(F.col(whole) > 0, F.floor(scale * F.col(part) / F.col(whole))).otherwise(0).cast("bigint")
 
 
-def _bins() -> dict[str, Column]:
-    values = {
+def _values() -> dict[str, Column]:
+    return {
         "symbols": _per("n_symbols", "word_chars"),
         "capitals": _per("n_capitals", "word_chars"),
         "word_length": _per("word_chars", "n_words", 100),
         "dup_lines": _per("n_dup_lines", "n_lines"),
         "repeats": _per("n_repeat_words", "n_words"),
     }
-    return {name: F.least(c, F.lit(LAST_BIN)) for name, c in values.items()}
+
+
+def _width(c: Column) -> Column:
+    """Width of the bin that a whole value lies in."""
+    doubled = F.greatest(F.length(F.bin(c)) - 1 - BINS_LOG2, F.lit(0))
+    return F.when(c > LINEAR, F.call_function("shiftleft", F.lit(1).cast("bigint"), doubled)).otherwise(F.lit(1).cast("bigint"))
+
+
+def _bin(c: Column) -> Column:
+    """Least value of the bin that a whole value lies in."""
+    return F.greatest(c - c % _width(c), F.least(c, F.lit(LINEAR + 1)))
+
+
+def _bin_end(c: Column) -> Column:
+    """Largest value of the bin whose least value is given."""
+    return c - c % _width(c) + _width(c) - 1
 
 
 def sketches(figures: DataFrame, groups: list[str]) -> DataFrame:
@@ -125,7 +144,7 @@ def sketches(figures: DataFrame, groups: list[str]) -> DataFrame:
     """
     stacked = figures.where("n_words > 0").select(
         *groups,
-        F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), c.alias("bin")) for k, c in enumerate(_bins().values())])).alias("f"),
+        F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), _bin(c).alias("bin")) for k, c in enumerate(_values().values())])).alias("f"),
     )
     own = stacked.groupBy(*groups, "f.figure", "f.bin").agg(F.count(F.lit(1)).alias("n"))
     by_first = own.groupBy(groups[0], "figure", "bin").agg(F.sum("n").alias("n"))
@@ -141,7 +160,7 @@ def sketches(figures: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def fences(bins: DataFrame, groups: list[str]) -> DataFrame:
-    """``groups, _level, rows, low_<figure>, high_<figure>`` from sketches. A sketch has at most LAST_BIN + 1 rows."""
+    """``groups, _level, rows, low_<figure>, high_<figure>`` from sketches. A sketch has at most 5001 rows and 1024 more per power of two."""
     key = Window.partitionBy(*groups, "_level", "figure")
     ranked = bins.withColumns(
         {"total": F.sum("n").over(key), "behind": F.sum("n").over(key.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))}
@@ -151,6 +170,7 @@ def fences(bins: DataFrame, groups: list[str]) -> DataFrame:
         F.min(F.when(4 * F.col("behind") >= F.col("total"), F.col("bin"))).alias("q1"),
         F.min(F.when(4 * F.col("behind") >= 3 * F.col("total"), F.col("bin"))).alias("q3"),
     )
+    quartiles = quartiles.withColumn("q3", _bin_end(F.col("q3")))
     spread = SPREADS * (F.col("q3") - F.col("q1"))
     out = [F.max("rows").alias("rows")]
     for k, (name, slack, two_sided) in enumerate(FIGURES):
@@ -190,7 +210,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: t
         same = F.col(g).eqNullSafe(F.col(f"{g}_0"))
         on = same if on is None else on & same
     joined = figures.join(table, on, "left")
-    values = _bins()
+    values = _values()
     within = F.lit(True)
     for name, _, two_sided in FIGURES:
         within = within & (values[name] <= F.col(f"high_{name}"))

@@ -236,6 +236,22 @@ def test_fences_follow_their_group(spark):
     assert got[800] is False and got[801] is True and all(v for k, v in got.items() if k < 800)
 
 
+def test_fences_of_long_words(spark):
+    """Words of any length count as long as they are: what is beyond the quartiles goes, what is within them stays."""
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n)) for _ in range(12))
+    rows = [(i, text(20 + i % 100), "zh", "a") for i in range(300)] + [(400 + i, text(60 + i % 60), "ja", "a") for i in range(300)]
+    rows += [(800, text(5000), "zh", "a"), (801, text(5000), "ja", "a"), (802, text(20), "ja", "a")]
+    rows += [(1000 + i, text(3000 + i % 5), "th", "a") for i in range(200)] + [(1300, text(3500), "th", "a"), (1301, text(60), "th", "a")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    gone = {r.doc_id for r in quality_rules.judge(table).collect() if not r.kept}
+    assert gone == {800, 801, 1300, 1301}
+    values = sorted({*range(4990, 5200), *(2**k + d for k in range(12, 40) for d in (-1, 0, 1)), 123_456_789})
+    bins = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", quality_rules._bin(F.col("v")).alias("b"))
+    for v, low, high in bins.select("v", "b", quality_rules._bin_end(F.col("b"))).collect():
+        assert low <= v <= high and high - low <= v / 1024 and (v > 5000 or low == high)
+
+
 def plain_spans(text):
     out = []
     for no, rule in enumerate(secret_scan.RULES):
