@@ -6,8 +6,9 @@ through a linear layer and a softmax. Table and layer are trained together by st
 a bounded sample of labelled texts. For prediction the layer is multiplied into the table once, so a text costs
 one row of as many numbers as there are languages per subword.
 
-Some of the sample is kept back to calibrate: a temperature that makes scores honest, then the least score that keeps
-the share of errors among accepted texts under a target. Lower scores are rejected.
+Some of the sample is kept back to calibrate, each language with its share of the corpus: a temperature that makes scores
+honest, then the least score that is accepted. Labels may be wrong: the share of errors in the upper half of the scores
+is taken for theirs, and only errors beyond it count against a score. Only scores below ``SURE`` are ever rejected.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ SUBWORDS = (2, 3, 4)
 PER_LANGUAGE = 400
 LANGUAGES = 512
 UNKNOWN = "und"
+# Shares of the best score that labels allow: below the first a text is rejected, from the second on never.
+GUESS, SURE = 0.5, 0.8
+# Deviations by which errors must exceed those of the labels.
+MARGIN = 2.0
 
 
 @dataclass(frozen=True)
@@ -88,10 +93,11 @@ def fit(
     rate: float = 4.0,
     seed: int = 0,
     target_error: float = 0.01,
+    totals: np.ndarray | None = None,
 ) -> LanguageModel:
-    """Model from bags (buckets, counts). Every fifth bag only calibrates."""
+    """Model from bags (buckets, counts). Every fifth bag only calibrates; ``totals`` are the texts of each language."""
     if not languages:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), 1.0, 1.0)
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer = np.zeros((WIDTH, len(languages)), np.float32)
@@ -117,22 +123,33 @@ def fit(
         return LanguageModel(languages, folded, 1.0, 0.0)
     z = np.array([shares[i][1] @ folded[shares[i][0]] for i in held])
     truth = labels[held]
+    found = np.bincount(truth, minlength=len(languages))
+    weights = ((found if totals is None else totals) / np.maximum(found, 1))[truth]
 
     def loss(t: float) -> float:
         s = z / t
         top = s.max(axis=1)
-        return float(np.mean(top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - s[np.arange(len(s)), truth]))
+        return float(np.average(top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - s[np.arange(len(s)), truth], weights=weights))
 
     temperature = float(min(np.geomspace(0.02, 20, 61), key=loss))
     p = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
     p /= p.sum(axis=1, keepdims=True)
-    order = np.argsort(p.max(axis=1), kind="stable")
-    wrong = (p.argmax(axis=1) != truth)[order]
-    errors = wrong[::-1].cumsum()[::-1] / np.arange(len(wrong), 0, -1)  # among this one and all above it
-    accepted = np.flatnonzero(errors <= target_error)
+    return LanguageModel(languages, folded, temperature, least_accepted(p.max(axis=1), p.argmax(axis=1) != truth, weights, target_error))
+
+
+def least_accepted(scores: np.ndarray, wrong: np.ndarray, weights: np.ndarray, target_error: float = 0.01) -> float:
+    """Least score to accept, from scores, errors and weights of calibration texts."""
+    order = np.argsort(scores, kind="stable")
+    scores, wrong, weights = scores[order], wrong[order], weights[order]
+    above = weights[::-1].cumsum()[::-1]  # of this one and all above it, as the next two
+    errors = (wrong * weights)[::-1].cumsum()[::-1] / above
+    size = above**2 / (weights**2)[::-1].cumsum()[::-1]
+    noise = float(errors[np.flatnonzero(above >= above[0] / 2)[-1]])  # of the upper half
+    rate = min(noise + target_error, 1.0)
+    good = np.flatnonzero(errors <= rate + MARGIN * np.sqrt(rate * (1 - rate) / size))
     # Where all of them may be accepted, only what is no better than a guess between two languages is not.
-    least = 0.5 if len(accepted) and accepted[0] == 0 else float(p.max(axis=1)[order[accepted[0]]]) if len(accepted) else 1.0
-    return LanguageModel(languages, folded, temperature, least)
+    least = 0.0 if good[0] == 0 else float(scores[good[0]])
+    return min(max(least, GUESS * (1 - noise)), SURE * (1 - noise))
 
 
 def train(
@@ -194,11 +211,14 @@ def train(
         (np.frombuffer(r.buckets, np.uint16).astype(np.int64), np.frombuffer(r.counts, np.uint32).astype(np.float64))
         for r in rows
     ]
-    return fit(bags, np.array([languages.index(r.lang) for r in rows], np.int64), languages)
+    return fit(bags, np.array([languages.index(r.lang) for r in rows], np.int64), languages, totals=np.array([counts[x] for x in languages], np.float64))
 
 
-def predictions(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; UNKNOWN with score 0 for texts without letters."""
+def predictions(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and whether it is accepted; UNKNOWN with score 0 for texts without letters.
+
+    A model without languages knows none and accepts every text with a letter.
+    """
     n = len(texts)
     sums, counts = np.zeros((n, len(model.languages))), np.zeros(n)
     for of, bucket in subwords(texts):
@@ -207,10 +227,10 @@ def predictions(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.n
         if len(bounds):
             sums[of[bounds]] += np.add.reduceat(model.table[bucket], bounds, axis=0, dtype=np.float64)
     if not model.languages:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), counts > 0
     p = model.probabilities(sums, counts)
     best, score = p.argmax(axis=1), np.where(counts > 0, p.max(axis=1), 0.0)
-    return [model.languages[b] if c else UNKNOWN for b, c in zip(best, counts)], score
+    return [model.languages[b] if c else UNKNOWN for b, c in zip(best, counts)], score, (counts > 0) & (score >= model.least_score)
 
 
 def identify(
@@ -230,16 +250,16 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_rows(batches):
-            found, score = predictions(model, texts)
+            found, score, accepted = predictions(model, texts)
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(found, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"]
+                [keys, pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
+                [id_col, "lang_pred", "score", "accepted"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held_fold, F.lit(False))
-    accepted = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.least_score)
-    return scored.select(id_col, held.alias("held_out"), "lang_pred", "score", accepted.alias("accepted"))
+    return scored.select(id_col, held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -249,8 +269,7 @@ def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text")
         for batch in batches:
             kept: list[np.ndarray] = []
             for _, texts in text_rows(iter([batch.select([text_col, text_col])])):
-                found, score = predictions(model, texts)
-                kept.append((np.array(found, object) != UNKNOWN) & (score >= model.least_score))
+                kept.append(predictions(model, texts)[2])
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

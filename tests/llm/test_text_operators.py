@@ -127,6 +127,31 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language_id.identify(table, none).collect()} == {"und"}
 
 
+def test_wrong_labels_reject_no_clean_texts(spark):
+    """A few wrong labels at all scores, or none at all, leave clean texts accepted; labels that are wrong at low scores count."""
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["zwei", "drei", "fünf"]}
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(20)), k) for i in range(700) for k in [("aa", "bb")[i % 2]]]
+    wrong = [(i, t, "ab"["ab".index(k[0]) ^ (r.random() < 0.03)] * 2) for i, t, k in rows]
+    assert 0.02 < sum(x != y for x, y in zip(rows, wrong)) / len(rows) < 0.045
+    table = spark.createDataFrame(wrong, "doc_id bigint, text string, lang string")
+    model = language_id.train(table)
+    got = {x.doc_id: x for x in language_id.identify(table, model).collect()}
+    assert all(got[i].accepted and got[i].lang_pred == k for i, _, k in rows) and language_id.keep_accepted(table, model).count() == len(rows)
+    bare = spark.createDataFrame([(1, "word", None), (2, "12 + 3", None), (3, None, None)], "doc_id bigint, text string, lang string")
+    assert [x.doc_id for x in language_id.keep_accepted(bare, language_id.train(bare)).collect()] == [1]
+    assert [x.accepted for x in language_id.identify(bare, language_id.train(bare)).orderBy("doc_id").collect()] == [True, False, False]
+    rng = np.random.default_rng(0)
+    for share in (0.01, 0.02, 0.03, 0.1, 0.6):
+        for _ in range(50):
+            scores = (1 - share) * rng.uniform(0.92, 1, 320)
+            assert language_id.least_accepted(scores, rng.random(320) < share, np.ones(320)) <= scores.min() + 0.06 * (share == 0.6)
+    scores = rng.uniform(0.5, 1, 320)
+    assert language_id.least_accepted(scores, scores < 0.7, np.ones(320)) > 0.65
+    rare = np.where(scores < 0.7, 1e-4, 1.0)  # errors of a language of few texts
+    assert language_id.least_accepted(scores, scores < 0.7, rare) == 0.5
+
+
 def shingles(text):
     w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
