@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from millrace.config import FeedConfig
 from millrace.session import BROADCAST_BYTES
 
+# A key is hot if it holds more than one in so many rows; so there are at most as many hot keys.
+HOT_SHARE = 2000
+
 
 def cross_check(published: DataFrame, consumed: DataFrame, keys: list[str]) -> DataFrame:
     """Publish log against shard log: which side knows each shard, and gap less measured wait.
@@ -70,6 +73,30 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if size <= limit else df
 
 
+def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = HOT_SHARE) -> DataFrame:
+    """The keys of ``counts`` (one row a key, ``n`` its rows) that hold more than one in ``share`` of all rows: ``share`` at most."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return counts.where(F.col(n) > max(1, total // share)).select(key)
+
+
+def join_apart(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join with ``table``, which has one row a key, where a few keys may hold most of ``rows``.
+
+    ``hot`` has the few keys (``hot_keys``). Their rows of ``table`` are broadcast, so rows of hot keys are not shuffled; all
+    others are joined by shuffle. ``table`` is read once for either. Rows with a null key match nothing: an inner join drops
+    them, a left one keeps them in place.
+    """
+    few = F.broadcast(hot.select(F.col(key).alias("_hot_key")))
+    is_hot = F.col(key) == F.col("_hot_key")
+    known = rows.where(F.col(key).isNotNull())
+    out = known.join(few, is_hot, "left_semi").join(F.broadcast(table.join(few, is_hot, "left_semi")), key, how).unionByName(
+        known.join(few, is_hot, "left_anti").join(table, key, how)
+    )
+    if how == "left":
+        out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out.select(*rows.columns, *[c for c in table.columns if c != key])
+
+
 def embedding_lookup(
     tokens: DataFrame, table: DataFrame, dim: int, pad: int = 0, hot_ways: int = 16
 ) -> DataFrame:

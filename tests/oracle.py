@@ -52,7 +52,7 @@ def normal(names: list[str], rows) -> list[tuple]:
     )
 
 
-KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def differences(spark, con, sf_dir: str, fn, sql: str) -> str | None:
