@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import (
     byte_bpe,
+    filter_audit,
     language_id,
     near_dup,
     packing,
@@ -13,6 +14,8 @@ from millrace.llm import (
     quality_rules,
     secret_scan,
     token_counts,
+    vector_codes,
+    vector_near_dup,
     vp_search,
     warc,
 )
@@ -87,3 +90,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_secret_scan"] = secret_scan.scan_sql()
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_vector_codes"] = vector_codes.compress_sql()
+
+
+@query
+def op12_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_vector_near_dup"] = vector_near_dup.near_duplicates_sql()
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = filter_audit.audit_sql()
