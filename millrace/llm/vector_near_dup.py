@@ -37,7 +37,9 @@ from millrace.session import stage
 COSINE = 0.98
 # Coordinates of a block: few enough to cut space into cells, enough to tell vectors apart.
 SIDE = 8
-NODE_LIMIT = 1024
+NODE_LIMIT = 4096
+# Components of the pairs that are verified at once.
+AT_ONCE = 1 << 22
 # Coordinates that are rotated together.
 TURN = 256
 # Squared distances are taken as smaller by this much until they are verified.
@@ -267,9 +269,12 @@ def links_of(
         i, j = np.nonzero(near)
         i += at
         i, j = i[i < j], j[i < j]
-        held = _first_met(wide, i, j, block, starts, shares)
-        i, j = i[held], j[held]
-        good = cosines(x[i], x[j]) >= cosine
+        good = np.zeros(len(i), bool)
+        step = max(1, AT_ONCE // x.shape[1])
+        for b in range(0, len(i), step):
+            p, q = i[b : b + step], j[b : b + step]
+            held = np.flatnonzero(_first_met(wide, p, q, block, starts, shares))
+            good[b + held[cosines(x[p[held]], x[q[held]]) >= cosine]] = True
         i, j = i[good], j[good]
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
