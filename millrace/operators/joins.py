@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import FeedConfig
-from millrace.session import BROADCAST_BYTES
+from millrace.session import BROADCAST_BYTES, stage
 
 # A key is hot if it holds more than one in so many rows; so there are at most as many hot keys.
 HOT_SHARE = 2000
@@ -42,9 +42,11 @@ def shape_check(manifest: DataFrame, config: FeedConfig) -> DataFrame:
     """Shards whose shape differs from what the reader expects, with the reason.
 
     ``manifest`` has ``n_samples``, ``n_bytes`` and ``seq_len``. The expected shape is a handful of
-    constants, so nothing is joined. The last shard of a table may be short.
+    constants, so nothing is joined. The last shard of a table may be short; the manifest is stored, for its last number
+    has to be known before its rows are judged.
     """
-    last = manifest.agg(F.max("shard_id")).scalar()
+    manifest = stage(manifest, "manifest")
+    last = manifest.agg(F.max("shard_id")).first()[0]
     short_last = (F.col("shard_id") == last) & (F.col("n_samples") < config.batch_size)
     expected_bytes = F.col("n_samples") * (F.col("seq_len").cast("bigint") + 1) * 8
     fault = (
