@@ -8,6 +8,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from millrace.llm.pretokens import HashTable, Splitter, chunks, text_of
 
@@ -17,6 +18,18 @@ Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 _MEMORY = "millrace_worker_memory"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the table has a column of that name; Spark does not tell case apart."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def once_per_worker(key: object, make: Callable[[], object]):
     """What ``make`` gives, made once in each worker process.
 

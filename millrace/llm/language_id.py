@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import splitter, text_rows
@@ -163,14 +163,15 @@ def train(
 ) -> LanguageModel:
     """Model from text and non-null language of the documents outside the held-out fold.
 
-    Fitted on about ``per_language`` whole texts of each language, those whose ids have the least hashes, so on the
-    same ones each time. More than ``LANGUAGES`` languages are refused.
+    Fitted on at most ``per_language`` whole texts of each language, those whose ids have the least hashes, so on the
+    same ones each time. An id gives one text of a language, however many rows it has. More than ``LANGUAGES`` languages are refused.
     """
     learned = docs.where(
         F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
         & (F.crc32(F.col(id_col).cast("string")) % folds != held_fold)
     )
-    counts = {r[0]: r[1] for r in learned.groupBy(lang_col).count().orderBy(lang_col).limit(LANGUAGES + 1).collect()}
+    sizes = learned.groupBy(lang_col).agg(F.count(F.lit(1)), F.approx_count_distinct(id_col)).orderBy(lang_col).limit(LANGUAGES + 1).collect()
+    counts = {r[0]: r[1] for r in sizes}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     languages = list(counts)
@@ -178,9 +179,15 @@ def train(
         return fit([], np.zeros(0, np.int64), [])
     unit = 1 << 30
     limits = F.create_map(*[
-        x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(unit, unit * per_language // n)))
+        x for lang, _, n in sizes for x in (F.lit(lang), F.lit(min(unit, 2 * unit * per_language // n)))
     ])
-    picked = learned.where(F.pmod(F.xxhash64(id_col), F.lit(unit)) < limits[F.col(lang_col)])
+    held = learned.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("k"), F.col(text_col).alias("text"))
+    place = F.pmod("k", F.lit(unit))
+    # About twice as many ids as are taken are told apart; those taken are at most as many for each of at most LANGUAGES.
+    ids = held.select("lang", "k").where(place < limits[F.col("lang")]).distinct()
+    first = Window.partitionBy("lang").orderBy(place, "k")
+    ids = ids.withColumn("no", F.row_number().over(first)).where(F.col("no") <= per_language).select("lang", "k")
+    picked = held.join(F.broadcast(ids), ["lang", "k"]).groupBy("lang", "k").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +210,7 @@ def train(
                     ["k", "lang", "buckets", "counts"],
                 )
 
-    rows = picked.select(F.xxhash64(id_col).alias("k"), F.col(lang_col).alias("lang"), text_col).mapInArrow(
+    rows = picked.select("k", "lang", "text").mapInArrow(
         run, "k bigint, lang string, buckets binary, counts binary"
     ).collect()
     rows.sort(key=lambda r: (r.k, r.lang, r.buckets))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from millrace.llm.encoding import text_rows
+from millrace.llm.encoding import text_rows, unused
 from millrace.session import stage
 
 SHINGLE = 5
@@ -512,35 +512,36 @@ def keep_first(
     shuffled only where an id or a text without one is repeated.
     """
     found = stage(_reached(docs, percent, trees, node_limit, depth, id_col, text_col), "near-found")
+    key, gone, n, of_text = unused(docs, "_id", "_gone", "_n", "_c")
     marks = stage(
-        found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
-            F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_n")
-        ).where("_gone OR _n > 1"),
+        found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(
+            F.max(F.col("doc_id") != F.col("component_id")).alias(gone), F.count(F.lit(1)).alias(n)
+        ).where(F.col(gone) | (F.col(n) > 1)),
         "near-marks",
     )
-    same = F.col(id_col) == F.col("_id")
+    same = F.col(id_col) == F.col(key)
     kept = docs.where(F.col(id_col).isNotNull()).join(marks, same, "left_anti")
-    again = marks.where("NOT _gone")
+    again = marks.where(~F.col(gone))
     if not again.isEmpty():
         kept = kept.union(_one_row(docs.join(again, same, "left_semi"), id_col, docs.columns, text_col))
     unnamed = found.where("doc_id IS NULL")
     if not unnamed.isEmpty():
-        keyed = _with_class(docs.where(F.col(id_col).isNull()), text_col)
-        own = unnamed.where("component_id IS NULL AND c = root").select(F.col("c").alias("_c")).distinct()
-        kept = kept.union(keyed.where("_c IS NULL").select(docs.columns))
-        kept = kept.union(_one_row(keyed.join(own, "_c", "left_semi"), "_c", docs.columns, text_col))
+        keyed = _with_class(docs.where(F.col(id_col).isNull()), text_col, of_text)
+        own = unnamed.where("component_id IS NULL AND c = root").select(F.col("c").alias(of_text)).distinct()
+        kept = kept.union(keyed.where(F.col(of_text).isNull()).select(docs.columns))
+        kept = kept.union(_one_row(keyed.join(own, of_text, "left_semi"), of_text, docs.columns, text_col))
     return kept
 
 
-def _with_class(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with the key ``_c`` of the class of their text."""
+def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """The rows with the key of the class of their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [class_key(shingle_set(t)) for _, texts in text_rows(iter([batch.select([text_col, text_col])])) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "_c"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_c", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
 def _one_row(docs: DataFrame, key: str, columns: list[str], text_col: str) -> DataFrame:

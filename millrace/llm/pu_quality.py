@@ -170,20 +170,24 @@ def remainder(id_col: str, by: int) -> Column:
 def _bounded(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     """At most n ids, the same ones each time: those of least hash."""
     ids = rows.select(id_col).where(F.col(id_col).isNotNull())
-    return ids.orderBy(F.xxhash64(id_col), id_col).limit(n).distinct()
+    known = ids.agg(F.approx_count_distinct(id_col)).first()[0]
+    # Only about twice as many as are taken have to be told apart, however many rows an id has.
+    bound = min((1 << 63) - 1, int((1 << 65) * n / max(known, 1)) - (1 << 63))
+    return ids.where(F.xxhash64(id_col) <= bound).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)
 
 
 def _features_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Features of the texts with these (bounded many) ids, on the driver, in an order of their own."""
+    """Features of one text of each of these (bounded many) ids, on the driver, in an order of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_rows(batches):
             rows = text_features(texts)
             yield pa.RecordBatch.from_arrays([keys, pa.array([r.tobytes() for r in rows], pa.binary())], ["k", "x"])
 
-    picked = docs.select(id_col, text_col).join(F.broadcast(ids), id_col)
-    found = picked.withColumn(id_col, F.xxhash64(id_col)).select(id_col, text_col)
-    rows = sorted((r.k, r.x) for r in found.mapInArrow(run, "k bigint, x binary").collect())
+    held = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    # Of an id with many texts, the one of least hash; tasks settle that among their own rows first.
+    picked = held.join(F.broadcast(ids.select(F.col(id_col).alias("id"))), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted((r.k, r.x) for r in picked.select(F.xxhash64("id"), "text").mapInArrow(run, "k bigint, x binary").collect())
     return np.array([np.frombuffer(x, np.float32) for _, x in rows]).reshape(len(rows), WIDTH)
 
 
@@ -200,7 +204,7 @@ def train(
     """Model from documents outside the held-out fold.
 
     Fitted on at most ``positives`` texts labelled good and ``unlabelled`` texts of any kind, those whose ids
-    have the least hashes, so on the same ones each time. Labels 0 are not used.
+    have the least hashes, so on the same ones each time. An id gives one text, however many rows it has. Labels 0 are not used.
     """
     learned = remainder(id_col, folds) != held_fold
     good = labels.where((F.col("quality") == 1) & learned)

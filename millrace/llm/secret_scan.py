@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.encoding import unused
+
 # Clauses of one rule's query, and characters of a class that is spelt out.
 MOST_CLAUSES = 64
 SMALL_CLASS = 5
@@ -187,21 +189,24 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
 _NONE = "array<struct<start:int,no:int,end:int>>"
 
 
-def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``_spans``, all spans of all rules by start, then rule, then end.
+def find_spans(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "_spans"
+) -> DataFrame:
+    """The rows of ``docs`` with ``spans_col``, all spans of all rules by start, then rule, then end.
 
     Rows are kept as they come. A repeated id is one document to the index, which then asks more of a row than it needs;
     every row is verified by its own text. A null id is a document of its own among the rest; a null text has no spans.
     """
-    found = candidates(build_index(docs, rules, id_col, text_col), rules)
-    joined = docs.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    key, asked = unused(docs, "_id", "_asked")
+    found = candidates(build_index(docs, rules, id_col, text_col), rules).toDF(key, asked)
+    joined = docs.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(key)), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(_NONE)
 
     def of(no: int, rule: Rule) -> Column:
         here = text.rlike(rule.java)
         if trigram_query(rule) is not None:
-            here = F.coalesce(F.array_contains("_asked", no), F.lit(False)) & here
+            here = F.coalesce(F.array_contains(asked, no), F.lit(False)) & here
         elif rule.tested == 0 and re_class_run(rule.pattern):
             # Only runs long enough are looked for, so the many short ones of a long text are never placed.
             rule = replace(rule, pattern=f"{rule.pattern[:-1]}{{{rule.least},}}")
@@ -209,7 +214,7 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
         return F.when(here, _spans(text, rule, no)).otherwise(none)
 
     spans = F.array_sort(F.concat(*[of(no, rule) for no, rule in enumerate(rules)]))
-    return joined.withColumn("_spans", spans).drop("_id", "_asked")
+    return joined.withColumn(spans_col, spans).drop(key, asked)
 
 
 def re_class_run(pattern: str) -> bool:
@@ -248,8 +253,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
 
     Texts without a span, null ones too, stay as they are; so do the other columns.
     """
-    found = find_spans(docs, rules, id_col, text_col)
-    text, spans = F.col(text_col), F.col("_spans")
+    (name,) = unused(docs, "_spans")
+    found = find_spans(docs, rules, id_col, text_col, name)
+    text, spans = F.col(text_col), F.col(name)
 
     def step(acc: Column, s: Column) -> Column:
         between = F.when(

@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import hot_keys, join_apart
+from millrace.session import stage
+
 K = 20
 FACTOR = 1.1
 SHARD_ROWS = 8192
@@ -137,16 +140,18 @@ def nearest(
         F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.size(vector_col).alias("width")
     )
     held = taken(vectors)
-    sizes = {r[0]: -(-r[1] // shard_rows) for r in held.groupBy("width").count().orderBy("width").limit(4096).collect()}
-    if not sizes:
+    per_width = held.groupBy("width").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.ceil(F.col("n") / shard_rows))
+    sizes = stage(per_width, "vp-widths")
+    parts = sizes.agg(F.sum("shards")).first()[0]
+    if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    shards = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    n = shards[F.col("width")]
-    rows = held.select(F.struct("width", F.pmod(F.xxhash64("id"), n).alias("no")).alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    asked = taken(queries).where(n.isNotNull()).select(
-        F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda s: F.struct("width", s.alias("no")))).alias("shard"), F.lit(1).alias("kind"), "id", "v"
+    hot = stage(hot_keys(sizes, "width"), "vp-hot")
+    numbered = lambda df: join_apart(df, sizes.select("width", "shards"), "width", hot)
+    # Repeated rows of one id are dealt over all shards as well.
+    rows = numbered(held).select(F.struct("width", F.pmod(F.xxhash64("id", "v"), F.col("shards")).alias("no")).alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    asked = numbered(taken(queries)).select(
+        F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1), lambda s: F.struct("width", s.alias("no")))).alias("shard"), F.lit(1).alias("kind"), "id", "v"
     )
-    parts = sum(sizes.values())
     dealt = rows.union(asked).select(F.xxhash64("shard").alias("shard"), "kind", "id", "v").repartition(parts, "shard").sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,3 +216,45 @@ def test_shares_are_exact_and_add_up():
             total[f] += gone[held | 1 << f] - gone[held]
             held |= 1 << f
     assert [s * 120 for s in shares] == total and sum(shares) == gone[31]
+
+
+def test_extra_columns_of_any_name_stay(spark):
+    from millrace.llm import near_dup, secret_scan
+
+    names = ["_id", "_asked", "_spans", "_n", "_c", "_gone", "_key", "_row", "_ID2", "c", "key"]
+    text = "one two three four five six " * 3
+    rows = [(1, "password=hunter2hunter2", *names), (2, text, *names), (3, text, *names), (3, "a b", *names), (None, "lone text", *names), (None, "lone text", *names)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns and all(tuple(r)[2:] == tuple(names) for r in clean.collect())
+    assert sorted(r.text for r in clean.collect()) == sorted(["[SECRET]", text, text, "a b", "lone text", "lone text"])
+    kept = near_dup.keep_first(docs)
+    assert kept.columns == docs.columns and all(tuple(r)[2:] == tuple(names) for r in kept.collect())
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "lone text"), (1, "password=hunter2hunter2"), (2, text)]
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One id holds a third of the rows; at most the documented number of texts is learned from."""
+    from millrace.llm import language_id, pu_quality
+
+    words = ["alpha beta gamma", "Haus Baum Garten", "le chat noir"]
+    rows = [(k if k % 3 else -7, f"{words[k % 3]} number {k} " * 3, "ab"[k % 2]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(k, 1) for k in range(600) if k % 3] + [(-7, 1)], "doc_id bigint, quality int")
+    sizes = []
+    monkeypatch.setattr(pu_quality, "fit", lambda p, u: sizes.extend([len(p), len(u)]))
+    pu_quality.train(docs, labels, positives=50, unlabelled=80)
+    assert sizes == [50, 80]
+    monkeypatch.setattr(language_id, "fit", lambda bags, y, languages, totals: sizes.extend(np.bincount(y).tolist()))
+    language_id.train(docs, per_language=30)
+    assert sizes[2:] == [30, 30]
+
+
+def test_vectors_of_many_widths_are_all_searched(spark):
+    from millrace.llm import vp_search
+
+    rows = [(2 * w + k, [1.0] * (w - 1) + [float(k + 1)], 0) for w in range(1, 4200) if w < 40 or w > 4190 for k in range(2)]
+    rows += [(100_000 + w, [1.0] * 3, 0) for w in range(30)]
+    vectors = frame(spark, rows)
+    found = vp_search.nearest(vectors, vectors, k=1)
+    assert found.count() == len(rows)
