@@ -5,6 +5,8 @@ Each runs over all labelled documents and returns the final table, so the rows c
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +27,23 @@ from millrace.sinks.publish import (
     publishable_now,
     retire_consumed,
 )
+from millrace.sinks.store import create_store, publish, store_ended
 from millrace.sources.raw import list_files, read_raw_shards, shape_raw, stream_raw_shards
+from millrace.sources.store import index_of, read_raw_store, read_store
 from millrace.sources.typed import read_shards
 from millrace.streaming.feed import (
+    PHASE_COLUMNS,
+    consume_store,
     drain_shards,
+    drain_store,
     keep_metrics,
+    phase_log_handler,
     phase_metrics,
+    publish_paced,
     run_stream,
+    run_until_end,
     shard_log_handler,
-    sweep,
+    sweep_store,
     training_handler,
 )
 
@@ -52,6 +62,13 @@ def published(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG) ->
     return path
 
 
+def stored(spark: SparkSession, sf_dir: str, config: FeedConfig = CONFIG, kind: str = "typed") -> str:
+    """A store with the document shards in indexed files."""
+    path = create_store(spark, fresh_dir(spark, "store"), kind)
+    publish(inputs.doc_shards(spark, sf_dir, config), path, kind)
+    return path
+
+
 @query("raw_round_trip", SAMPLE_SUMS_SQL)
 def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published as raw words, read back, shaped and unpacked."""
@@ -64,9 +81,35 @@ def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("typed_round_trip", SAMPLE_SUMS_SQL)
 def typed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published into indexed files and read back."""
+    return sample_sums(read_store(spark, stored(spark, sf_dir)))
+
+
+@query("folder_round_trip", SAMPLE_SUMS_SQL)
+def folder_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published as a folder per shard and read back."""
     return sample_sums(read_shards(spark, published(spark, sf_dir)))
 
 
+@query("raw_store_round_trip", SAMPLE_SUMS_SQL)
+def raw_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published as raw words, many shards in a file, read back by the index, shaped and unpacked."""
+    packed, _ = shape_raw(read_raw_store(spark, stored(spark, sf_dir, kind="raw")), CONFIG)
+    return sample_sums(unpack_shards(packed))
+
+
+@query(
+    "store_index",
+    f"WITH {DOC_SAMPLES} SELECT sample_id // 64 AS shard_id, count(*) AS n, (count(*) * 8200)::BIGINT AS bytes, "
+    "1::BIGINT AS version, 1::BIGINT AS files FROM samples GROUP BY 1",
+)
+def store_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a store: a row per shard, and in how many files a shard lies."""
+    path = stored(spark, sf_dir)
+    files = read_store(spark, path).groupBy("shard_id").agg(F.count_distinct("_metadata.file_path").alias("files"))
+    return index_of(spark, path).join(files, "shard_id").select("shard_id", "n", "bytes", "version", "files")
+
+
 def _log_sql(size: int, extra: str) -> str:
     return (
         f"WITH {DOC_SAMPLES}, t AS (SELECT sample_id // {size} AS shard_id, sum(token)::BIGINT AS token_sum "
@@ -78,11 +121,10 @@ def _log_sql(size: int, extra: str) -> str:
 
 
 def _drained(spark: SparkSession, sf_dir: str, in_flight: int | None, retire: bool = False):
-    shards = published(spark, sf_dir, STREAM_CONFIG)
+    shards = stored(spark, sf_dir, STREAM_CONFIG)
     run_dir = fresh_dir(spark, "feed")
-    drain_shards(
-        spark, shards, run_dir, shard_log_handler(f"{run_dir}/log", "run"), in_flight, retire
-    )
+    handler = shard_log_handler(f"{run_dir}/log", "run")
+    drain_store(spark, shards, run_dir, handler, max_in_flight=in_flight, retire=retire)
     return shards, spark.read.schema(FEED_LOG).parquet(f"{run_dir}/log")
 
 
@@ -113,7 +155,7 @@ def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_ordered", _log_sql(256, ", row_number() OVER (ORDER BY s.shard_id) AS place"))
 def stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which shards are taken, one per micro-batch, as recorded while they are taken."""
-    shards = published(spark, sf_dir, STREAM_CONFIG)
+    shards = stored(spark, sf_dir, STREAM_CONFIG)
     run_dir = fresh_dir(spark, "feed")
     log = shard_log_handler(f"{run_dir}/log", "run")
 
@@ -122,38 +164,81 @@ def stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
         place = F.lit(batch_id + 1).cast("bigint").alias("place")
         append_log(batch.select("shard_id", place).distinct(), f"{run_dir}/places", "run", batch_id)
 
-    drain_shards(spark, shards, run_dir, handle, 1)
+    drain_store(spark, shards, run_dir, handle, max_in_flight=1)
     rows = spark.read.schema(FEED_LOG).parquet(f"{run_dir}/log")
     places = spark.read.schema("shard_id bigint, place bigint").parquet(f"{run_dir}/places")
     return rows.join(places, "shard_id").select(*LOG_COLUMNS, "place")
 
 
-@query("stream_retired", _log_sql(256, ", 0::BIGINT AS files_left"))
+@query("stream_retired", _log_sql(256, ", 0::BIGINT AS files_left, 0::BIGINT AS shards_left"))
 def stream_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards are deleted once logged; nothing is left in the end."""
+    """Files are deleted once all their shards are logged; nothing is left in the end."""
     shards, log = _drained(spark, sf_dir, IN_FLIGHT, retire=True)
-    sweep(spark, shards, log)
-    files = list_files(spark, shards, recursive=True)
+    sweep_store(spark, shards)
+    files = list_files(spark, f"{shards}/data", recursive=True)
     left = files.where(F.col("name").endswith(".parquet")).count()
-    return log.select(*LOG_COLUMNS, F.lit(left).cast("bigint").alias("files_left"))
+    held = index_of(spark, shards).count()
+    return log.select(*LOG_COLUMNS, F.lit(left).cast("bigint").alias("files_left"), F.lit(held).cast("bigint").alias("shards_left"))
 
 
 @query("stream_raw", SAMPLE_SUMS_SQL)
 def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw shard files read as a stream, shaped and unpacked in each micro-batch."""
-    path, run_dir = fresh_dir(spark, "raw"), fresh_dir(spark, "feed")
-    publish_raw_shards(inputs.doc_shards(spark, sf_dir), path)
+    """Raw words read as a stream by shard number, shaped and unpacked in each micro-batch."""
+    path, run_dir = stored(spark, sf_dir, kind="raw"), fresh_dir(spark, "feed")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         packed, _ = shape_raw(batch, CONFIG)
         append_log(unpack_shards(packed), f"{run_dir}/samples", "run", batch_id)
 
-    stream = stream_raw_shards(spark, path, RAW_IN_FLIGHT)
-    run_stream(stream, handle, f"{run_dir}/checkpoint").awaitTermination()
+    drain_store(spark, path, run_dir, handle, kind="raw", max_in_flight=RAW_IN_FLIGHT)
     schema = "shard_id bigint, pos_in_shard bigint, x array<bigint>, y bigint"
     return sample_sums(spark.read.schema(schema).parquet(f"{run_dir}/samples"))
 
 
+@query("stream_paced", _log_sql(256, ", true AS ended, true AS in_order"))
+def stream_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live run: a paced publisher, a consumer beside it that waits for each number, and an end by the end marker."""
+    samples = stage(inputs.doc_shards(spark, sf_dir, STREAM_CONFIG), "to-publish")
+    path, run_dir = create_store(spark, fresh_dir(spark, "store")), fresh_dir(spark, "feed")
+    consumer = consume_store(
+        spark, path, run_dir, shard_log_handler(f"{run_dir}/log", "run"), max_in_flight=IN_FLIGHT, gaps="wait", interval="200 milliseconds"
+    )
+    publisher = publish_paced(samples, path, f"{run_dir}/publisher", IN_FLIGHT)
+    try:
+        run_until_end(spark, path, consumer)
+    finally:
+        publisher.stop()
+    log = spark.read.schema(FEED_LOG).parquet(f"{run_dir}/log")
+    # Shards of a later micro-batch have higher numbers than all before it.
+    spans = log.groupBy("batch_id").agg(F.min("shard_id").alias("low"), F.max("shard_id").alias("high"), F.count(F.lit(1)).alias("taken"))
+    in_order = F.col("high") - F.col("low") + 1 == F.col("taken")
+    return log.join(spans, "batch_id").select(
+        *LOG_COLUMNS, F.lit(store_ended(spark, path)).alias("ended"), in_order.alias("in_order")
+    )
+
+
+@query(
+    "stream_phases",
+    f"WITH {DOC_SAMPLES} SELECT count(DISTINCT sample_id // 256) AS shards, count(*) AS samples, (count(*) * 8200)::BIGINT AS bytes, "
+    "true AS timed, true AS within_wall FROM samples",
+)
+def stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a run from its own log of phase times: every shard was timed, and phases do not exceed the wall time."""
+    shards, run_dir = stored(spark, sf_dir, STREAM_CONFIG), fresh_dir(spark, "feed")
+    work = shard_log_handler(f"{run_dir}/shards", "run")
+    began = time.perf_counter()
+    drain_store(spark, shards, run_dir, phase_log_handler(work, f"{run_dir}/log", "run"), max_in_flight=IN_FLIGHT)
+    wall_ms = 1000 * (time.perf_counter() - began)
+    log = spark.read.schema(PHASE_COLUMNS).parquet(f"{run_dir}/log").withColumns(
+        {"run": F.lit("run"), "loss": F.lit(0.0), "correct": F.lit(0).cast("bigint")}
+    )
+    phases = F.col("wait_ms") + F.col("load_ms") + F.col("train_ms")
+    return log.agg(
+        F.count(F.lit(1)).alias("shards"), F.sum("n").alias("samples"), F.sum("bytes").alias("bytes"),
+        (F.min(F.least("load_ms", "train_ms")) > 0).alias("timed"), (F.sum(phases) <= wall_ms).alias("within_wall"),
+    )
+
+
 @query("stream_lookahead", _log_sql(128, f", s.shard_id // {LOOKAHEAD} AS wave"))
 def stream_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A publisher that may be at most ``LOOKAHEAD`` shards ahead of its consumer.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.config import WORD_BYTES, FeedConfig
+from millrace.files import qualified
 from millrace.operators.metrics import weighted_mean
 from millrace.operators.model import log_shard, train_shard, zero_state
 from millrace.schemas import MODEL_STATE
 from millrace.sinks.log import append_log, latest
 from millrace.sinks.publish import retire_consumed
+from millrace.sinks.store import end_store, publish, store_ended
+from millrace.sources.store import Store, index_of, retire_taken, stream_store
 from millrace.sources.typed import read_shards, stream_shards
 
 Handler = Callable[[DataFrame, int], None]
@@ -111,6 +115,113 @@ def drain_shards(
     return query
 
 
+def consume_store(
+    spark: SparkSession,
+    path: str,
+    run_dir: str,
+    handler: Handler,
+    kind: str = "typed",
+    max_in_flight: int | None = None,
+    gaps: str = "skip",
+    retire: bool = False,
+    interval: str = "0 seconds",
+) -> StreamingQuery:
+    """Start ``handler`` on the shards of a store, lowest number first, at most ``max_in_flight`` per micro-batch.
+
+    The checkpoint holds the next shard number, so a restart goes on with the micro-batch that failed. ``interval`` paces the run.
+    """
+    stream = stream_store(spark, path, kind, max_in_flight, gaps, retire)
+    return run_stream(stream, handler, f"{run_dir}/checkpoint", interval)
+
+
+def drain_store(spark: SparkSession, path: str, run_dir: str, handler: Handler, **options) -> StreamingQuery:
+    """``consume_store`` until all shards that are there have been taken."""
+    query = consume_store(spark, path, run_dir, handler, **options)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
+def run_until_end(spark: SparkSession, path: str, query: StreamingQuery, look_s: float = 0.5) -> StreamingQuery:
+    """Let a query over a store run until the end marker is there and nothing is left to take, then stop it.
+
+    A query that fails raises here.
+    """
+    while not store_ended(spark, path):
+        if query.awaitTermination(look_s):
+            return query
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
+def publish_paced(
+    samples: DataFrame, path: str, run_dir: str, per_tick: int = 1, interval: str = "500 milliseconds", kind: str = "typed"
+) -> StreamingQuery:
+    """Publish the next ``per_tick`` shard numbers of a stored table every ``interval``, then the end marker.
+
+    The numbers come from a rate source, so a restart goes on where the checkpoint stands, and a tick that runs again
+    publishes only what is not there yet. The query goes on ticking without work; stop it once the store has ended.
+    """
+    spark = samples.sparkSession
+    highest = samples.agg(F.max("shard_id")).first()[0]
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_tick).option("numPartitions", 1).load()
+
+    def tick(batch: DataFrame, batch_id: int) -> None:
+        if store_ended(spark, path):
+            return
+        low, high = batch.agg(F.min("value"), F.max("value")).first()
+        mine = samples.where(F.col("shard_id").between(low, high))
+        known = index_of(spark, path).where(F.col("shard_id").between(low, high)).select("shard_id")
+        publish(mine.join(known, "shard_id", "left_anti"), path, kind)
+        if highest is None or high >= highest:
+            end_store(spark, path)
+
+    return run_stream(ticks, tick, f"{run_dir}/checkpoint", interval)
+
+
+PHASE_COLUMNS = "shard_id bigint, n bigint, bytes bigint, wait_ms double, load_ms double, pin_ms double, h2d_ms double, train_ms double, finish_us bigint"
+
+
+def phase_log_handler(work: Handler, log_path: str, run_id: str) -> Handler:
+    """``work`` on every micro-batch, and one log row per shard that says where the time went.
+
+    Waiting is from the end of one micro-batch, or the start of the run, to the handing over of the next, and is written down at its
+    lowest shard; loading is the reading of its rows, training the work on them, both shared out by bytes. There is
+    no device, so the times of copying to one are 0. The log has the columns of ``operators.metrics`` and ``timeline``.
+    """
+    idle_since = time.perf_counter()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        nonlocal idle_since
+        begin = time.perf_counter()
+        held = batch.persist()
+        words = (F.size("x").cast("bigint") + 1) * WORD_BYTES
+        # As many rows as shards in flight.
+        sizes = held.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.sum(words).alias("bytes")).orderBy("shard_id").collect()
+        loaded = time.perf_counter()
+        work(held, batch_id)
+        held.unpersist()
+        done = time.perf_counter()
+        total = sum(r["bytes"] for r in sizes) or 1
+        rows = [
+            (
+                r["shard_id"], r["n"], r["bytes"], 1000 * (begin - idle_since) if k == 0 else 0.0, 1000 * (loaded - begin) * r["bytes"] / total,
+                0.0, 0.0, 1000 * (done - loaded) * r["bytes"] / total, time.time_ns() // 1000,
+            )
+            for k, r in enumerate(sizes)
+        ]
+        spark = batch.sparkSession
+        append_log(spark.createDataFrame(rows, PHASE_COLUMNS).coalesce(1), log_path, run_id, batch_id)
+        idle_since = time.perf_counter()
+
+    return handle
+
+
 def sweep(spark: SparkSession, shard_path: str, log: DataFrame) -> int:
     """Delete the shards that a finished query has logged.
 
@@ -119,6 +230,14 @@ def sweep(spark: SparkSession, shard_path: str, log: DataFrame) -> int:
     return retire_consumed(spark, shard_path, log.select("shard_id"))
 
 
+def sweep_store(spark: SparkSession, path: str) -> int:
+    """Delete the files of a store all of whose shards a finished run has taken; its last micro-batch leaves some behind."""
+    store = Store(qualified(spark, path))
+    snapshot = store.newest()
+    highest = max((p["high"] for p in snapshot["index"]), default=-1)
+    return retire_taken(store, {"next": highest + 1, "version": snapshot["version"]})
+
+
 def training_handler(
     spark: SparkSession,
     run_dir: str,
