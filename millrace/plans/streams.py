@@ -12,25 +12,20 @@ from pyspark.sql import functions as F
 
 from millrace.config import FeedConfig
 from millrace.operators.batching import unpack_shards
-from millrace.operators.joins import pending_shards
 from millrace.plans import inputs
+from millrace.plans.figures import held
 from millrace.plans.inputs import CONFIG, phase_log_of
-from millrace.plans.registry import DOC_SAMPLES, PHASE_LOG, query
+from millrace.plans.registry import DOC_SAMPLES, HELD, PHASE_LOG, query
 from millrace.plans.shaping import SAMPLE_SUMS_SQL, r6, sample_sums
 from millrace.session import fresh_dir, stage
 from millrace.sinks.log import append_log
-from millrace.sinks.publish import (
-    end_of_stream,
-    make_folder,
-    publish_raw_shards,
-    publish_shards,
-    publishable_now,
-    retire_consumed,
-)
+from millrace.sinks.publish import end_of_stream, publish_raw_shards, publish_shards
 from millrace.sinks.store import create_store, publish, store_ended
-from millrace.sources.raw import list_files, read_raw_shards, shape_raw, stream_raw_shards
+from millrace.sources.raw import list_files, read_raw_shards, shape_raw
 from millrace.sources.store import index_of, read_raw_store, read_store
 from millrace.sources.typed import read_shards
+from millrace.streaming import bounded
+from millrace.streaming.bounded import hold_back
 from millrace.streaming.feed import (
     PHASE_COLUMNS,
     consume_store,
@@ -50,6 +45,9 @@ from millrace.streaming.feed import (
 IN_FLIGHT = 4
 RAW_IN_FLIGHT = 16
 LOOKAHEAD = 3
+# Files of changes a micro-batch takes, and a delay that no change of the given tables exceeds.
+CHANGE_FILES = 4
+ALL_TIME = "3650 days"
 STREAM_CONFIG = FeedConfig(batch_size=256)
 # Raw shards stay under the byte cap.
 RAW_CONFIG = FeedConfig(batch_size=128)
@@ -241,34 +239,56 @@ def stream_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_lookahead", _log_sql(128, f", s.shard_id // {LOOKAHEAD} AS wave"))
 def stream_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A publisher that may be at most ``LOOKAHEAD`` shards ahead of its consumer.
+    """A publisher that may be at most ``LOOKAHEAD`` shards ahead of its consumer, as one streaming query.
 
-    Each wave publishes what the bound allows, and the consumer takes and deletes it.
+    Its input are the events of shards that are ready and shards that are gone. What the state releases is published, read back, logged
+    and deleted; that they are gone are new events. The micro-batch of a shard is its wave.
     """
     samples = stage(inputs.doc_shards(spark, sf_dir, RAW_CONFIG), "to-publish")
-    path, run_dir = fresh_dir(spark, "raw"), fresh_dir(spark, "feed")
-    manifest = stage(samples.select("shard_id").distinct(), "manifest")
-    log_schema = "shard_id bigint, n bigint, bytes bigint, token_sum bigint, n_pos bigint, batch_id bigint"
-    log_path, wave = f"{run_dir}/log", 0
-    make_folder(path)
+    path, run_dir = create_store(spark, fresh_dir(spark, "store")), fresh_dir(spark, "feed")
+    events, kinds = f"{run_dir}/events", "shard_id bigint, kind string, run_id string, batch_id bigint"
+    ready = samples.select("shard_id").distinct().select("shard_id", F.lit("ready").alias("kind"))
+    append_log(ready.coalesce(1), events, "feed", -1)
+    log_path = f"{run_dir}/log"
     log_shards = shard_log_handler(log_path, "run")
-    append_log(spark.createDataFrame([], log_schema).drop("batch_id"), log_path, "run", -1)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        packed, _ = shape_raw(batch, RAW_CONFIG)
-        log_shards(unpack_shards(packed), wave)
-
-    while True:
-        log = spark.read.schema(log_schema).parquet(log_path)
-        pending = pending_shards(manifest, log, ["shard_id"])
-        present = list_files(spark, path).where(F.col("shard_id").isNotNull())
-        now = publishable_now(pending, present, LOOKAHEAD)
-        if publish_raw_shards(samples.join(now, "shard_id", "left_semi"), path).isEmpty():
-            return log.select(*LOG_COLUMNS, F.col("batch_id").alias("wave"))
-        stream = stream_raw_shards(spark, path)
-        run_stream(stream, handle, f"{run_dir}/checkpoint").awaitTermination()
-        retire_consumed(spark, path, spark.read.schema(log_schema).parquet(log_path))
-        wave += 1
+        # Numbers in a row, at most LOOKAHEAD of them.
+        low, high = batch.agg(F.min("shard_id"), F.max("shard_id")).first()
+        if low is None:
+            return
+        now = F.col("shard_id").between(low, high)
+        if index_of(spark, path).where(now).isEmpty():  # else this micro-batch has run before
+            publish(samples.where(now), path)
+        log_shards(read_store(spark, path, low, high), batch_id)
+        gone = spark.range(low, high + 1).select(F.col("id").alias("shard_id"), F.lit("retired").alias("kind"))
+        append_log(gone.coalesce(1), events, "feed", batch_id)
+
+    said = spark.readStream.schema(kinds).parquet(events).withColumn("stream", F.lit(0).cast("bigint"))
+    query_ = run_stream(hold_back(said, "stream", LOOKAHEAD), handle, f"{run_dir}/checkpoint", "0 seconds")
+    try:
+        query_.processAllAvailable()
+    finally:
+        query_.stop()
+    sweep_store(spark, path)
+    return spark.read.schema(FEED_LOG).parquet(log_path).select(*LOG_COLUMNS, F.col("batch_id").alias("wave"))
+
+
+@query(
+    "live_backlog",
+    f"WITH {HELD} SELECT stream, sum(delta)::BIGINT AS items, sum(bytes)::BIGINT AS bytes_held, max(items)::BIGINT AS peak_items, "
+    "max(bytes_held)::BIGINT AS peak_bytes FROM held GROUP BY 1",
+)
+def live_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backlog and its peaks kept while publish and retire events come in, out of order within a slice of time."""
+    path, run_dir = fresh_dir(spark, "changes"), fresh_dir(spark, "feed")
+    changes = held(spark, sf_dir).select("stream", "shard_id", "ts_us", "delta", "bytes")
+    changes.write.parquet(path)
+    schema = "stream bigint, shard_id bigint, ts_us bigint, delta bigint, bytes bigint"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", CHANGE_FILES).parquet(path)
+    query_, newest = keep_metrics(bounded.live_backlog(stream, "stream", ALL_TIME), run_dir, ["stream"])
+    query_.awaitTermination()
+    return newest().select("stream", "items", "bytes_held", "peak_items", "peak_bytes")
 
 
 @query("stream_train")

@@ -62,7 +62,7 @@ def publish(
         raise ValueError(f"{path} has ended or holds {now['kind']} shards")
     cap = CAP_BYTES if cap is None and kind == "raw" else cap
     sizes = stage(sizes_of(samples), "publish-sizes")
-    low, high, total, most = sizes.agg(F.min("shard_id"), F.max("shard_id"), F.sum("bytes"), F.max("bytes")).first()
+    low, high, total, most, count = sizes.agg(F.min("shard_id"), F.max("shard_id"), F.sum("bytes"), F.max("bytes"), F.count(F.lit(1))).first()
     if low is None:
         return spark.createDataFrame([], INDEX)
     if cap is not None and most >= cap:
@@ -79,10 +79,10 @@ def publish(
     rows = places.join(sizes, "shard_id").join(last, "file").select(
         "shard_id", "file", "first", "size", "n", "bytes", "last", F.lit(version).cast("bigint").alias("version"), F.lit(when).cast("bigint").alias("published_us")
     )
-    index = [*now["index"], *_write_index(rows, path, low, high)]
+    index = [*now["index"], *_write_index(rows, path, low, high, count)]
     if len(index) > merge_at:
         held = spark.read.schema(INDEX).parquet(*[f"{path}/{p['file']}" for p in index])
-        index = _write_index(held, path, min(p["low"] for p in index), max(p["high"] for p in index))
+        index = _write_index(held, path, min(p["low"] for p in index), max(p["high"] for p in index), sum(p["rows"] for p in index))
     _next_snapshot(spark, path, now, index=index)
     return spark.read.schema(INDEX).parquet(*[f"{path}/{p['file']}" for p in index]).where(F.col("version") == version)
 
@@ -141,10 +141,9 @@ def _write_words(dealt: DataFrame, path: str, folder: str) -> DataFrame:
     return stage(dealt.mapInArrow(write, "shard_id bigint, file string, first bigint, size bigint"), "publish-places")
 
 
-def _write_index(rows: DataFrame, path: str, low: int, high: int) -> list[dict]:
+def _write_index(rows: DataFrame, path: str, low: int, high: int, count: int) -> list[dict]:
     """Sorted index files of rows, and what a snapshot says of each."""
-    rows = stage(rows, "publish-index")
-    parts = max(1, -(-rows.count() // INDEX_ROWS))
+    parts = max(1, -(-count // INDEX_ROWS))
     span = -(-(high - low + 1) // parts)
     folder = f"index/{uuid.uuid4().hex}"
     dealt = rows.repartitionById(parts, F.expr(f"cast((shard_id - {low}L) div {span}L as int)")).sortWithinPartitions("shard_id")
@@ -154,7 +153,10 @@ def _write_index(rows: DataFrame, path: str, low: int, high: int) -> list[dict]:
     found = written.groupBy(name.alias("name")).agg(
         F.min("shard_id").alias("low"), F.max("shard_id").alias("high"), F.max("version").alias("version"), F.count(F.lit(1)).alias("n")
     )
-    return [{"file": f"{folder}/{r['name']}", "low": r["low"], "high": r["high"], "version": r["version"]} for r in found.orderBy("low").collect()]
+    return [
+        {"file": f"{folder}/{r['name']}", "low": r["low"], "high": r["high"], "version": r["version"], "rows": r["n"]}
+        for r in found.orderBy("low").collect()
+    ]
 
 
 def end_store(spark: SparkSession, path: str) -> None:
