@@ -7,6 +7,11 @@ it is broadcast.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -48,8 +53,8 @@ def _tokens(samples: DataFrame, config: FeedConfig, *keep: str) -> DataFrame:
     )
 
 
-def _small(config: FeedConfig) -> bool:
-    """Whether a state of all possible tokens may be broadcast."""
+def fits_one_job(config: FeedConfig) -> bool:
+    """Whether a state of all possible tokens may be broadcast, or sent along with a step."""
     return (config.vocab + 1) * (3 * 8 * config.classes + 64) <= BROADCAST_BYTES
 
 
@@ -59,7 +64,7 @@ def score(samples: DataFrame, state: DataFrame, config: FeedConfig) -> DataFrame
     The tokens of a sample are summed where they are read, so only one row per sample is shuffled.
     """
     weights = state.where(F.col("token") != config.pad).select("token", "w")
-    if _small(config):
+    if fits_one_job(config):
         weights = F.broadcast(weights)
     tokens = _tokens(samples, config, "sample_id", "y")
     sums = [
@@ -216,6 +221,142 @@ def train_shard(
     }
 
 
+class Weights:
+    """The whole state as arrays of (vocab + 1) rows, the last one the bias, and one column a class.
+
+    Steps that take it to the tasks and bring one gradient back need its size to be bounded; ``fits_one_job`` says whether it is.
+    """
+
+    def __init__(self, config: FeedConfig) -> None:
+        if not fits_one_job(config):
+            raise ValueError("the state is too large for steps of one job")
+        shape = (config.vocab + 1, config.classes)
+        self.w, self.m, self.v = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        self.seen, self.step = np.zeros(shape[0], bool), 0
+
+    def packed(self) -> bytes:
+        return zlib.compress(np.int64(self.step).tobytes() + self.seen.tobytes() + np.stack([self.w, self.m, self.v]).tobytes(), 1)
+
+    def unpack(self, content: bytes) -> Weights:
+        raw, rows = zlib.decompress(content), len(self.seen)
+        self.step = int(np.frombuffer(raw, np.int64, 1)[0])
+        self.seen = np.frombuffer(raw, bool, rows, 8).copy()
+        self.w, self.m, self.v = np.frombuffer(raw, np.float64, offset=8 + rows).reshape(3, *self.w.shape).copy()
+        return self
+
+    def descend(self, g: np.ndarray, touched: np.ndarray, rate: float = LEARNING_RATE) -> None:
+        """The optimizer's next step with the mean gradient; rows without one move on by momentum."""
+        self.step += 1
+        self.seen |= touched
+        self.m = self.m * BETA1 + g * (1 - BETA1)
+        self.v = self.v * BETA2 + g * g * (1 - BETA2)
+        first, second = 1 - BETA1**self.step, 1 - BETA2**self.step
+        self.w = self.w - (self.m / first) / (np.sqrt(self.v / second) + EPSILON) * rate
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The state as ``token, w, m, v``, a row for every token seen and one for the bias."""
+        rows = np.flatnonzero(self.seen)
+        tokens = np.where(rows == len(self.seen) - 1, BIAS, rows).tolist()
+        held = [self.w[rows].tolist(), self.m[rows].tolist(), self.v[rows].tolist()]
+        return spark.createDataFrame(list(zip(tokens, *held)), MODEL_STATE)
+
+
+# Rows of the sums that are no tokens: samples and right ones, loss and bytes.
+_COUNTS, _LOSSES = -2, -3
+
+
+def step_sums(samples: DataFrame, state: Weights, config: FeedConfig) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+    """(sum of the gradients, rows that have one, metrics of each shard) of ``shard_id, x, y``, in one job.
+
+    A task reads each row once: logits, losses and errors never leave it, pads are dropped where they are, and what it sends on is
+    one sum per token it has met. At most vocab + 1 sums and two rows a shard come back.
+    """
+    classes, rows = config.classes, config.vocab + 1
+    wide = max(classes, 2)
+    w = state.w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, touched = np.zeros((rows, classes)), np.zeros(rows, bool)
+        facts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            shard, sizes = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
+            y = batch.column(2).fill_null(-1).to_numpy()
+            n = len(y)
+            token = np.mod(batch.column(1).flatten().to_numpy(), config.vocab)
+            sample = np.repeat(np.arange(n), sizes)
+            real = token != config.pad
+            token, sample = token[real], sample[real]
+            z = w[-1] + np.stack([np.bincount(sample, w[token, k], n) for k in range(classes)], axis=1)
+            top = z.max(axis=1, keepdims=True)
+            whole = top[:, 0] + np.log(np.exp(z - top).sum(axis=1))
+            error = np.exp(z - whole[:, None])
+            known = (y >= 0) & (y < classes)
+            at = np.flatnonzero(known)
+            loss = np.zeros(n)
+            loss[at] = whole[at] - z[at, y[at]]
+            error[at, y[at]] -= 1
+            for k in range(classes):
+                g[:-1, k] += np.bincount(token, error[sample, k], rows - 1)
+            g[-1] += error.sum(axis=0)
+            touched[token] = touched[-1] = True
+            hit = known & (z.argmax(axis=1) == y)
+            for of in np.unique(shard):
+                here = shard == of
+                facts.setdefault(int(of), np.zeros(4))
+                facts[int(of)] += [here.sum(), hit[here].sum(), loss[here].sum(), WORD_BYTES * (sizes[here] + 1).sum()]
+        if not facts:
+            return
+        at = np.flatnonzero(touched)
+        tokens = [*np.where(at == rows - 1, BIAS, at).tolist(), *[k for _ in facts for k in (_COUNTS, _LOSSES)]]
+        shards = [None] * len(at) + [s for s in facts for _ in range(2)]
+        sums = np.zeros((len(tokens), wide))
+        sums[: len(at), :classes] = g[at]
+        sums[len(at) :, :2] = np.concatenate([f.reshape(2, 2) for f in facts.values()])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shards, pa.int64()), pa.array(tokens, pa.int64()), *[pa.array(sums[:, k]) for k in range(wide)]],
+            ["shard_id", "token", *[f"g{k}" for k in range(wide)]],
+        )
+
+    parts = samples.select("shard_id", "x", "y").mapInArrow(run, "shard_id bigint, token bigint, " + ", ".join(f"g{k} double" for k in range(wide)))
+    found = parts.groupBy("shard_id", "token").agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(wide)]).collect()
+    g, touched, metrics = np.zeros((rows, classes)), np.zeros(rows, bool), {}
+    for row in found:
+        if row.token >= BIAS:
+            g[row.token], touched[row.token] = row[2 : 2 + classes], True  # -1 is the last row
+        elif row.token == _COUNTS:
+            metrics.setdefault(row.shard_id, {}).update(n=int(row.g0), correct=int(row.g1))
+        else:
+            metrics.setdefault(row.shard_id, {}).update(loss_sum=row.g0, bytes=int(row.g1))
+    return g, touched, [{"shard_id": s, **metrics[s]} for s in sorted(metrics)]
+
+
+def train_step(samples: DataFrame, state: Weights, config: FeedConfig) -> list[dict]:
+    """One optimizer step over all samples, which may be of several shards: the metrics of each shard, taken before it."""
+    g, touched, metrics = step_sums(samples, state, config)
+    n = sum(m["n"] for m in metrics)
+    if n:
+        state.descend(g / n, touched)
+    return [
+        {**m, "loss": m.pop("loss_sum") / max(m["n"], 1), "acc": m["correct"] / max(m["n"], 1)} for m in metrics
+    ]
+
+
+STEP_LOG = StructType([f for f in SHARD_LOG.fields if f.name not in ("run_id", "batch_id")]).add("state", "binary")
+
+
+def log_step(spark: SparkSession, metrics: list[dict], state: Weights, path: str, run_id: str, batch_id: int) -> None:
+    """The log rows of a step's shards and, with the first of them, the state after it; one file."""
+    content = state.packed()
+    rows = [[*[m[f] for f in STEP_LOG.fieldNames()[:-1]], content if k == 0 else None] for k, m in enumerate(metrics)]
+    append_log(spark.createDataFrame(rows, STEP_LOG).coalesce(1), path, run_id, batch_id)
+
+
+def state_after(spark: SparkSession, path: str, run_id: str, batch_id: int, config: FeedConfig) -> Weights:
+    """The state that a step has left; what it was before the first one where the step had no rows."""
+    held = spark.read.schema("state binary").parquet(f"{path}/run_id={run_id}/batch_id={batch_id}").where("state IS NOT NULL").first()
+    return Weights(config).unpack(held["state"]) if held else Weights(config)
+
+
 def train_over_shards(
     shards: DataFrame,
     config: FeedConfig,
@@ -223,24 +364,32 @@ def train_over_shards(
     minibatch: int | None = None,
     seed: int = 0,
     run_id: str = "run",
+    shards_per_step: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """One pass over numbered shards in order: (shard log, final state).
 
-    The driver only steps through shard numbers; scoring, gradients and updates run on the executors.
-    A shard is one optimizer step unless ``minibatch`` is smaller, so at scale shards should be large.
+    A step takes the next ``shards_per_step`` shards and two jobs: one brings their summed gradient, one writes the log rows and the
+    state. With ``minibatch``, or where the state is too large to be sent along, steps go through tables, one shard after another.
     """
     spark = shards.sparkSession
-    # One number per step that the driver takes anyway; numbers without a shard are not among them.
+    # Numbers alone: the driver takes them in order, as many as a step is to have.
     numbers = [r["shard_id"] for r in shards.select("shard_id").distinct().orderBy("shard_id").collect()]
-    state, step, order = zero_state(spark), 0, 0
     append_log(spark.createDataFrame([], SHARD_LOG).drop("run_id", "batch_id"), f"{run_dir}/log", run_id, -1)
-    for shard_id in numbers:
-        shard = shards.where(F.col("shard_id") == shard_id)
-        state, step, m = train_shard(
-            shard, state, step, config, f"{run_dir}/state/shard={shard_id}", minibatch, seed
-        )
-        log_shard(spark, m, shard_id, f"{run_dir}/log", run_id, order)
-        order += 1
+    if minibatch is None and fits_one_job(config):
+        held = Weights(config)
+        for order, at in enumerate(range(0, len(numbers), shards_per_step)):
+            mine = numbers[at : at + shards_per_step]
+            metrics = train_step(shards.where(F.col("shard_id").between(mine[0], mine[-1])), held, config)
+            log_step(spark, metrics, held, f"{run_dir}/log", run_id, order)
+        state = held.table(spark)
+    else:
+        state, step = zero_state(spark), 0
+        for order, shard_id in enumerate(numbers):
+            shard = shards.where(F.col("shard_id") == shard_id)
+            state, step, m = train_shard(
+                shard, state, step, config, f"{run_dir}/state/shard={shard_id}", minibatch, seed
+            )
+            log_shard(spark, m, shard_id, f"{run_dir}/log", run_id, order)
     return read_log(spark, f"{run_dir}/log", SHARD_LOG).where(F.col("batch_id") >= 0), state
 
 

@@ -17,6 +17,7 @@ from millrace.plans.figures import held
 from millrace.plans.inputs import CONFIG, phase_log_of
 from millrace.plans.registry import DOC_SAMPLES, HELD, PHASE_LOG, query
 from millrace.plans.shaping import SAMPLE_SUMS_SQL, r6, sample_sums
+from millrace.plans.training import TRAINED
 from millrace.session import fresh_dir, stage
 from millrace.sinks.log import append_log
 from millrace.sinks.publish import end_of_stream, publish_raw_shards, publish_shards
@@ -29,7 +30,6 @@ from millrace.streaming.bounded import hold_back
 from millrace.streaming.feed import (
     PHASE_COLUMNS,
     consume_store,
-    drain_shards,
     drain_store,
     keep_metrics,
     phase_log_handler,
@@ -291,18 +291,15 @@ def live_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest().select("stream", "items", "bytes_held", "peak_items", "peak_bytes")
 
 
-@query("stream_train")
+@query("stream_train", TRAINED)
 def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training fed by the stream, one shard per micro-batch: the shard log.
-
-    Compared in the tests with the same training out of a table.
-    """
-    shards = published(spark, sf_dir, STREAM_CONFIG)
+    """Training fed by the stream, one shard per micro-batch: the shard log."""
+    shards = stored(spark, sf_dir, STREAM_CONFIG)
     run_dir = fresh_dir(spark, "feed")
-    drain_shards(spark, shards, run_dir, training_handler(spark, run_dir, "run", STREAM_CONFIG), 1)
-    schema = "shard_id bigint, n bigint, loss double, correct bigint, acc double, batch_id bigint"
+    drain_store(spark, shards, run_dir, training_handler(spark, run_dir, "run", STREAM_CONFIG), max_in_flight=1)
+    schema = "shard_id bigint, n bigint, bytes bigint, loss double, correct bigint, acc double, batch_id bigint"
     log = spark.read.schema(schema).parquet(f"{run_dir}/log")
-    return log.select("shard_id", "n", r6(F.col("loss")).alias("loss"), "correct", r6(F.col("acc")).alias("acc"))
+    return log.select("shard_id", "n", "bytes", r6(F.col("loss")).alias("loss"), "correct", r6(F.col("acc")).alias("acc"))
 
 
 @query(

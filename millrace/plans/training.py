@@ -13,9 +13,13 @@ from millrace.plans.inputs import CONFIG, fixed_weights
 from millrace.plans.registry import ALL_SAMPLES, DOC_SAMPLES, query, weight_sql
 from millrace.plans.shaping import r6
 from millrace.session import fresh_dir
+from millrace.sinks.store import create_store, publish
+from millrace.sources.store import read_store
 
 DIM = 64
 TRAIN = FeedConfig(batch_size=256)
+# Files small enough that a step reads little else than its shards.
+TRAIN_FILE_BYTES = 64 * 1024 * 1024
 
 
 def weights(spark: SparkSession) -> DataFrame:
@@ -154,27 +158,69 @@ def train_step_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("token", *[r6(F.get("w", F.lit(k))).alias(f"w{k}") for k in range(2)])
 
 
-@query("train_over_shards")
+# One optimizer step per shard of 256 samples, each from the state that the one before it left. A row of the state is
+# (token, w, m, v); tokens -2 and -3 carry the metrics that were taken before the step.
+TRAINED = f"""WITH RECURSIVE {DOC_SAMPLES},
+counts AS MATERIALIZED (
+  SELECT sample_id // 256 AS shard, sample_id, token, count(*)::DOUBLE AS c FROM tokens WHERE token <> 0 GROUP BY ALL
+  UNION ALL SELECT sample_id // 256, sample_id, -1, 1.0 FROM samples),
+labels_of AS MATERIALIZED (SELECT sample_id // 256 AS shard, sample_id, y FROM samples),
+steps AS (
+  SELECT 0::BIGINT AS step, token, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS m0, 0.0::DOUBLE AS m1, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1
+  FROM (SELECT DISTINCT token FROM counts)
+  UNION ALL
+  SELECT * FROM (
+    WITH now AS MATERIALIZED (SELECT * FROM steps),
+    z AS MATERIALIZED (
+      SELECT sample_id, y, sum(c * w0) AS z0, sum(c * w1) AS z1
+      FROM labels_of JOIN counts USING (shard, sample_id) JOIN now USING (token)
+      WHERE shard = now.step AND now.token >= -1 GROUP BY ALL),
+    p AS MATERIALIZED (SELECT *, greatest(z0, z1) + ln(exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))) AS whole FROM z),
+    e AS MATERIALIZED (SELECT sample_id, exp(z0 - whole) - (y = 0)::INT AS e0, exp(z1 - whole) - (y = 1)::INT AS e1 FROM p),
+    g AS (
+      SELECT token, sum(c * e0) / (SELECT count(*) FROM e) AS g0, sum(c * e1) / (SELECT count(*) FROM e) AS g1
+      FROM e JOIN counts USING (sample_id) GROUP BY token),
+    mv AS (
+      SELECT step + 1 AS step, token, w0, w1, m0 * 0.9 + coalesce(g0, 0) * (1 - 0.9) AS m0, m1 * 0.9 + coalesce(g1, 0) * (1 - 0.9) AS m1,
+             v0 * 0.999 + coalesce(g0 * g0, 0) * (1 - 0.999) AS v0, v1 * 0.999 + coalesce(g1 * g1, 0) * (1 - 0.999) AS v1
+      FROM now LEFT JOIN g USING (token) WHERE token >= -1)
+    SELECT step, token, w0 - (m0 / (1 - 0.9::DOUBLE ** step)) / (sqrt(v0 / (1 - 0.999::DOUBLE ** step)) + 1e-8) * 0.001,
+           w1 - (m1 / (1 - 0.9::DOUBLE ** step)) / (sqrt(v1 / (1 - 0.999::DOUBLE ** step)) + 1e-8) * 0.001, m0, m1, v0, v1
+    FROM mv WHERE (SELECT count(*) FROM e) > 0
+    UNION ALL
+    SELECT (SELECT max(step) FROM now) + 1, -2, count(*)::DOUBLE, sum(CASE WHEN (z1 > z0) = (y = 1) THEN 1 ELSE 0 END)::DOUBLE,
+           sum(whole - CASE WHEN y = 1 THEN z1 ELSE z0 END), 0, 0, 0
+    FROM p HAVING count(*) > 0))
+SELECT step - 1 AS shard_id, w0::BIGINT AS n, (w0 * 8200)::BIGINT AS bytes, round(m0 / w0, 6) AS loss, w1::BIGINT AS correct, round(w1 / w0, 6) AS acc
+FROM steps WHERE token = -2"""
+
+
+@query("train_over_shards", TRAINED)
 def train_over_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass over the document shards in order: the shard log. Checked by hand-made training in the tests."""
-    shards = inputs.doc_shards(spark, sf_dir, TRAIN).select(
-        "shard_id", "sample_id", "pos_in_shard", "x", "y"
-    )
-    published = publish_for_training(spark, shards)
-    log, _ = model.train_over_shards(published, TRAIN, fresh_dir(spark, "training"))
-    return log.select(
-        "shard_id", "n", "bytes", r6(F.col("loss")).alias("loss"), "correct", r6(F.col("acc")).alias("acc")
-    )
+    """One pass over the document shards in order: the shard log."""
+    log, _ = _trained(spark, sf_dir, 1)
+    return log
 
 
-def publish_for_training(spark: SparkSession, shards: DataFrame) -> DataFrame:
-    """Published shards, so that each step reads the folder of its shard only."""
-    from millrace.sinks.publish import publish_shards
-    from millrace.sources.typed import read_shards
+@query(
+    "train_several_shards",
+    f"WITH {DOC_SAMPLES} SELECT sample_id // 256 AS shard_id, count(*) AS n, (count(*) * 8200)::BIGINT AS bytes, sample_id // 1024 AS step FROM samples "
+    "GROUP BY ALL",
+)
+def train_several_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with four shards a step."""
+    _, raw = _trained(spark, sf_dir, 4)
+    return raw.select("shard_id", "n", "bytes", F.col("batch_id").alias("step"))
+
 
-    path = fresh_dir(spark, "train-shards")
-    publish_shards(shards, path)
-    return read_shards(spark, path)
+def _trained(spark: SparkSession, sf_dir: str, shards_per_step: int) -> tuple[DataFrame, DataFrame]:
+    """(rounded log, log) of training on stored shards, so that each step reads the files of its shards only."""
+    path = create_store(spark, fresh_dir(spark, "train-shards"))
+    publish(inputs.doc_shards(spark, sf_dir, TRAIN), path, file_bytes=TRAIN_FILE_BYTES)
+    log, _ = model.train_over_shards(read_store(spark, path), TRAIN, fresh_dir(spark, "training"), shards_per_step=shards_per_step)
+    return log.select(
+        "shard_id", "n", "bytes", r6(F.col("loss")).alias("loss"), "correct", r6(F.col("acc")).alias("acc")
+    ), log
 
 
 @query("fit_classifier")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.config import WORD_BYTES, FeedConfig
 from millrace.files import qualified
 from millrace.operators.metrics import weighted_mean
-from millrace.operators.model import log_shard, train_shard, zero_state
+from millrace.operators.model import Weights, fits_one_job, log_shard, log_step, state_after, train_shard, train_step, zero_state
 from millrace.schemas import MODEL_STATE
 from millrace.sinks.log import append_log, latest
 from millrace.sinks.publish import retire_consumed
@@ -246,13 +246,24 @@ def training_handler(
     minibatch: int | None = None,
     seed: int = 0,
 ) -> Handler:
-    """Train on the shards of a micro-batch in order and log each one.
+    """Train on the shards of a micro-batch and log each one.
 
-    State is kept per shard place, and a micro-batch starts from what the one before it left. A
-    micro-batch that runs again therefore repeats the same steps and overwrites the same files. Meant
-    for ``max_in_flight=1``, where the place is the micro-batch number.
+    Without ``minibatch`` a micro-batch is one optimizer step over all its shards, in two jobs: one for the summed gradient, one
+    that writes the log rows and the state. A micro-batch starts from what the one before it left, so one that runs again repeats
+    the same step and overwrites the same file. With ``minibatch`` steps go through tables, shard after shard.
     """
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        log = f"{run_dir}/log"
+        state = state_after(spark, log, run_id, batch_id - 1, config) if batch_id else Weights(config)
+        log_step(spark, train_step(batch, state, config), state, log, run_id, batch_id)
+
+    return handle if minibatch is None and fits_one_job(config) else _training_by_tables(spark, run_dir, run_id, config, minibatch, seed)
+
+
+def _training_by_tables(spark: SparkSession, run_dir: str, run_id: str, config: FeedConfig, minibatch: int | None, seed: int) -> Handler:
+    """State is kept per shard place, and a micro-batch starts from what the one before it left."""
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         # At most max_in_flight numbers.

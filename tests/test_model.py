@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.config import FeedConfig
 from millrace.operators import model as M
 from millrace.operators.batching import minibatches, shuffle_within_shard
-from millrace.session import fresh_dir
+from millrace.session import fresh_dir, stage
 from millrace.sources.synth import synth_uniform
 
 TINY = FeedConfig(batch_size=8, seq_len=6, vocab=12)
@@ -128,3 +128,36 @@ def test_whole_table_fit(spark):
     samples = synth_uniform(spark, 4, 16, TINY).withColumn("x", F.when(F.col("y") == 1, F.array_repeat(F.lit(7).cast("bigint"), 6)).otherwise(F.col("x")))
     _, scored = M.fit_classifier(samples, TINY)
     assert scored.where("prediction = label").count() > 0.9 * scored.count()
+
+
+def test_steps_of_one_job(spark):
+    """Two shards a step are one step over both; the packed state comes back; tokens are met by several tasks."""
+    shards = synth_uniform(spark, 4, 8, TINY).repartition(5)
+    one, two = M.Weights(TINY), M.Weights(TINY)
+    first = M.train_step(shards.where("shard_id < 2"), one, TINY)
+    assert [m["shard_id"] for m in first] == [0, 1] and all(m["n"] == 8 and m["loss"] == pytest.approx(math.log(2)) for m in first)
+    joined = M.train_step(shards.where("shard_id < 2").withColumn("shard_id", F.lit(0).cast("bigint")), two, TINY)
+    assert joined[0]["n"] == 16 and np.allclose(one.w, two.w) and one.seen.tolist() == two.seen.tolist()
+    again = M.Weights(TINY).unpack(one.packed())
+    assert again.step == 1 and all((getattr(again, k) == getattr(one, k)).all() for k in ("w", "m", "v", "seen"))
+    by_table, _ = M.train_minibatch(shards.where("shard_id < 2"), M.zero_state(spark), 1, TINY, fresh_dir(spark, "state"))
+    want = {r.token: r.w for r in by_table.collect()}
+    got = {r.token: r.w for r in one.table(spark).collect()}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
+    assert M.train_step(shards.where("shard_id > 9"), one, TINY) == [] and one.step == 1
+
+
+def test_a_step_takes_two_jobs(spark):
+    shards = stage(synth_uniform(spark, 6, 8, TINY), "shards")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("steps", "steps")
+    try:
+        M.train_over_shards(shards, TINY, fresh_dir(spark, "t"), shards_per_step=2)
+        few = len(tracker.getJobIdsForGroup("steps"))
+        spark.sparkContext.setJobGroup("more", "more")
+        M.train_over_shards(shards, TINY, fresh_dir(spark, "t"), shards_per_step=1)
+        many = len(tracker.getJobIdsForGroup("more"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Adaptive execution submits the shuffle of a gradient as a job of its own.
+    assert many - few <= 3 * 3

@@ -33,7 +33,7 @@ def test_entry(spark):
 def test_names():
     assert set(ORACLES) < set(QUERIES)
     feed = {name for name in QUERIES if name != "pipeline" and not name[2:3].isdigit()}
-    assert feed - set(ORACLES) == {"train_over_shards", "stream_train", "fit_classifier"}
+    assert feed - set(ORACLES) == {"fit_classifier"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
