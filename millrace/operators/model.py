@@ -8,7 +8,7 @@ it is broadcast.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,10 @@ from pyspark.sql.types import StructType
 from millrace.config import LEARNING_RATE, WORD_BYTES, FeedConfig
 from millrace.operators.batching import minibatches, shuffle_within_shard
 from millrace.schemas import MODEL_STATE, SHARD_LOG
-from millrace.session import BROADCAST_BYTES
+from millrace.session import BROADCAST_BYTES, stage
 from millrace.sinks.log import append_log, read_log
 
 BIAS = -1
-# Generous size of one sample's error per class in a broadcast table.
-ERROR_BYTES = 64
 # Fixed values of the optimizer.
 BETA1 = 0.9
 BETA2 = 0.999
@@ -39,18 +37,31 @@ def zero_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MODEL_STATE)
 
 
-def _tokens(samples: DataFrame, config: FeedConfig, *keep: str) -> DataFrame:
-    """One row per token of each sample and one for its bias, with the columns to ``keep``.
+def sparse_rows(samples: DataFrame, config: FeedConfig, *keep: str) -> DataFrame:
+    """The columns to ``keep`` and ``counts``: the distinct tokens of ``x``, ascending, each with how often it occurs.
 
-    The clamp is what bounds the state to ``vocab + 1`` rows; the bias goes through it as null.
+    Ids are clamped to the vocabulary, which bounds the state to ``vocab + 1`` rows. Padding and null ids are left out, so a row
+    of nothing else, or a null one, has no entries. All of it is array work inside the row.
     """
-    ids = F.concat(F.array(F.lit(None).cast("bigint")), F.col("x"))
-    clamped = F.pmod(F.col("_id"), F.lit(config.vocab).cast("bigint"))
-    return (
-        samples.select(*keep, F.explode(ids).alias("_id"))
-        .withColumn("token", F.coalesce(clamped, F.lit(BIAS).cast("bigint")))
-        .drop("_id")
+    real = F.filter(
+        F.transform(F.coalesce("x", F.array().cast("array<bigint>")), lambda t: F.pmod(t, F.lit(config.vocab).cast("bigint"))),
+        lambda t: t != config.pad,
+    )
+    ids = samples.select(*keep, F.array_sort(real).alias("_ids"))
+    size = F.size("_ids")
+    # A run of equal ids begins where an id differs from the one before it, and ends where the next run begins.
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("_ids", 1, F.greatest(size - 1, F.lit(0))))
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(
+        F.arrays_zip(F.col("_ids").alias("token"), before.alias("before"), places.alias("at")),
+        lambda e: ~e["token"].eqNullSafe(e["before"]) & e["token"].isNotNull(),
+    )
+    runs = ids.select(*keep, begins.alias("_begins"), size.alias("_size"))
+    ends = F.concat(F.slice(F.col("_begins.at"), 2, F.greatest(F.size("_begins"), F.lit(1))), F.array("_size"))
+    entries = F.zip_with(
+        "_begins", ends, lambda run, end: F.when(run.isNotNull(), F.struct(run["token"].alias("token"), (end - run["at"]).alias("n")))
     )
+    return runs.select(*keep, F.filter(entries, lambda e: e.isNotNull()).alias("counts"))
 
 
 def fits_one_job(config: FeedConfig) -> bool:
@@ -58,22 +69,63 @@ def fits_one_job(config: FeedConfig) -> bool:
     return (config.vocab + 1) * (3 * 8 * config.classes + 64) <= BROADCAST_BYTES
 
 
-def score(samples: DataFrame, state: DataFrame, config: FeedConfig) -> DataFrame:
-    """``sample_id, y, logits`` for every sample; padding adds nothing, the bias adds once.
+def _dense_weights(state: DataFrame, config: FeedConfig) -> Column:
+    """All weights as one struct, an array a class: ``w0`` and so on, with token t at t, zero for padding, and the bias as ``b0`` and so on.
 
-    The tokens of a sample are summed where they are read, so only one row per sample is shuffled.
+    It is an uncorrelated scalar subquery, the plan's only look at ``state``, and of at most ``vocab + 1`` rows, whose size
+    ``fits_one_job`` has checked.
     """
-    weights = state.where(F.col("token") != config.pad).select("token", "w")
+    every = state.sparkSession.range(BIAS, config.vocab).select(F.col("id").alias("token"))
+    known = state.where(F.col("token") != config.pad).select("token", "w")
+    held = every.join(F.broadcast(known), "token", "left").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("_held"))
+    tokens = F.slice("_held", 2, config.vocab)
+    each = [F.transform(tokens, _weight_of(k)).alias(f"w{k}") for k in range(config.classes)]
+    bias = [_weight_of(k)(F.get("_held", F.lit(0))).alias(f"b{k}") for k in range(config.classes)]
+    return held.select(F.struct(*each, *bias)).scalar()
+
+
+def _weight_of(k: int) -> Callable[[Column], Column]:
+    return lambda entry: F.coalesce(F.get(entry["w"], F.lit(k)), F.lit(0.0))
+
+
+def score(samples: DataFrame, state: DataFrame, config: FeedConfig, *keep: str) -> DataFrame:
+    """``sample_id, y, logits`` for every sample and the columns to ``keep``; padding adds nothing, the bias adds once.
+
+    Where the state fits, a sample's logits are sums over its own array of ids, each looked up in arrays of weights: a projection,
+    nothing is exploded, joined or shuffled. Otherwise the distinct tokens of each sample are joined with the state and summed again,
+    one row per sample and task being shuffled. Null ids, and a null ``x``, add nothing.
+    """
+    carried = ["sample_id", "y", *keep]
+    classes = range(config.classes)
     if fits_one_job(config):
-        weights = F.broadcast(weights)
-    tokens = _tokens(samples, config, "sample_id", "y")
-    sums = [
-        F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"z{k}")
-        for k in range(config.classes)
-    ]
-    scored = tokens.join(weights, "token", "left").groupBy("sample_id", "y").agg(*sums)
-    logits = F.array(*[F.col(f"z{k}") for k in range(config.classes)])
-    return scored.select("sample_id", "y", logits.alias("logits"))
+        dense = _dense_weights(state, config)
+        # Each part of the weights is referred to once, so the optimizer puts the subquery's value in its place and no row
+        # carries a copy of them.
+        parts = [dense[f"{part}{k}"].alias(f"_{part}{k}") for part in "wb" for k in classes]
+        held = samples.select("x", *[c for c in carried if c != "x"], *parts)
+
+        return held.select(*carried, F.array(*[_row_sum(k, config) + F.col(f"_b{k}") for k in classes]).alias("logits"))
+    weights = state.where(F.col("token") != config.pad).select("token", "w")
+    sums = [F.coalesce(F.sum(F.col("n") * F.get("w", F.lit(k))), F.lit(0.0)).alias(f"z{k}") for k in classes]
+    entries = _entries(sparse_rows(samples, config, *carried), *carried)
+    scored = entries.join(weights, "token", "left").groupBy(*carried).agg(*sums)
+    return scored.select(*carried, F.array(*[F.col(f"z{k}") for k in classes]).alias("logits"))
+
+
+def _row_sum(k: int, config: FeedConfig) -> Column:
+    """Sum of the weights of class ``k`` over the ids of a row; padding is cut out before."""
+    real = F.coalesce(F.array_remove("x", config.pad), F.array().cast("array<bigint>"))
+
+    def weight(t: Column) -> Column:
+        return F.coalesce(F.get(f"_w{k}", F.pmod(t, F.lit(config.vocab).cast("bigint")).cast("int")), F.lit(0.0))
+
+    return F.aggregate(real, F.lit(0.0), lambda total, t: total + weight(t))
+
+
+def _entries(rows: DataFrame, *keep: str) -> DataFrame:
+    """``token, n`` of each sparse row and one entry for its bias, with the columns to ``keep``."""
+    bias = F.array(F.struct(F.lit(BIAS).cast("bigint").alias("token"), F.lit(1).alias("n")))
+    return rows.select(*keep, F.inline(F.concat(bias, "counts")))
 
 
 def _log_sum_exp(logits: Column) -> Column:
@@ -117,32 +169,27 @@ def batch_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def gradient(
-    samples: DataFrame, scored: DataFrame, config: FeedConfig, n: int | None = None
-) -> DataFrame:
-    """``token, g``: mean-loss gradient per token and class over the samples of a minibatch.
+def gradient(scored: DataFrame, config: FeedConfig, n: int | None = None) -> DataFrame:
+    """``token, g``: mean-loss gradient per token and class over the samples of a minibatch, scored with their ``x`` kept.
 
-    Padding gets none. A frequent token is summed on the map side before anything is shuffled. ``n`` is
-    the number of samples where the caller knows it already; if it is small enough for their errors to be
-    broadcast, the samples themselves are not shuffled.
+    Padding gets none. A sample's errors are in its row, so samples are neither joined nor shuffled; each sends on one entry per
+    distinct token, and a frequent token is summed on the map side. ``n`` is the number of samples where the caller knows it
+    already; else the sums, ``vocab + 1`` rows at most, are stored and that of the bias says it.
     """
     p = probabilities(F.col("logits"))
-    error = [
-        (F.get(p, F.lit(k)) - F.when(F.col("y") == k, 1.0).otherwise(0.0)).alias(f"e{k}")
-        for k in range(config.classes)
-    ]
-    errors = scored.select("sample_id", *error)
-    if n is not None and n * ERROR_BYTES * config.classes <= BROADCAST_BYTES:
-        errors = F.broadcast(errors)
-    judged = samples.select("sample_id", "x").join(errors, "sample_id")
-    pulls = _tokens(judged, config, *[f"e{k}" for k in range(config.classes)]).where(
-        F.col("token") != config.pad
-    )
+    error = {
+        f"e{k}": F.get(p, F.lit(k)) - F.when(F.col("y") == k, 1.0).otherwise(0.0) for k in range(config.classes)
+    }
+    judged = scored.select("x", *[e.alias(name) for name, e in error.items()])
+    pulls = _entries(sparse_rows(judged, config, *error), *error)
     sums = pulls.groupBy("token").agg(
-        *[F.sum(f"e{k}").alias(f"g{k}") for k in range(config.classes)]
+        F.count(F.lit(1)).alias("samples"), *[F.sum(F.col("n") * F.col(f"e{k}")).alias(f"g{k}") for k in range(config.classes)]
     )
-    size = samples.agg(F.count(F.lit(1))).scalar() if n is None else F.lit(n)
-    mean = F.array(*[F.col(f"g{k}") / size for k in range(config.classes)])
+    if n is None:
+        sums = stage(sums, "gradient-sums")
+        bias = sums.where(F.col("token") == BIAS).first()
+        n = bias["samples"] if bias else 1
+    mean = F.array(*[F.col(f"g{k}") / F.lit(n) for k in range(config.classes)])
     return sums.select("token", mean.alias("g"))
 
 
@@ -175,12 +222,12 @@ def train_minibatch(
     The new state is written to ``state_path`` and read back, so lineage does not grow with the steps
     and a lost executor costs a re-read.
     """
-    scored = score(samples, state, config).persist()
+    scored = score(samples, state, config, "x").persist()
     metrics = batch_metrics(scored).first().asDict()
     if metrics["n"] == 0:
         scored.unpersist()
         return state, metrics
-    grads = gradient(samples, scored, config, metrics["n"])
+    grads = gradient(scored, config, metrics["n"])
     adam_step(state, grads, step, config).write.mode("overwrite").parquet(state_path)
     scored.unpersist()
     return state.sparkSession.read.schema(MODEL_STATE).parquet(state_path), metrics

@@ -130,8 +130,7 @@ grads AS (
 
 
 def first_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir)
-    return model.gradient(rows, model.score(rows, model.zero_state(spark), CONFIG), CONFIG)
+    return model.gradient(model.score(samples(spark, sf_dir), model.zero_state(spark), CONFIG, "x"), CONFIG)
 
 
 @query(

@@ -38,6 +38,42 @@ def test_only_padding_scores_the_bias(spark):
     assert M.score(samples, state, TINY).first()["logits"] == [0.5, -0.5]
 
 
+ODD_ROWS = [(0, [0, 0], 1), (1, [5, 3, 5, 0, 17, 3, 12], 0), (2, [], 1), (3, None, 0), (4, [None, 4], 1), (5, [-1], 0)]
+
+
+def test_sparse_rows(spark):
+    """Clamped, ascending and counted; padding, ids that clamp to it, nulls and rows of nothing else have no entries."""
+    samples = spark.createDataFrame(ODD_ROWS, "sample_id bigint, x array<bigint>, y bigint")
+    got = {r["sample_id"]: [tuple(e) for e in r["counts"]] for r in M.sparse_rows(samples, TINY, "sample_id").collect()}
+    assert got == {0: [], 1: [(3, 2), (5, 3)], 2: [], 3: [], 4: [(4, 1)], 5: [(11, 1)]}
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_scores_by_projection_and_by_join(spark, monkeypatch, fits):
+    samples = spark.createDataFrame(ODD_ROWS, "sample_id bigint, x array<bigint>, y bigint")
+    state = spark.createDataFrame(
+        [(M.BIAS, [0.5, -0.5]), (0, [9.0, 9.0]), (3, [1.0, 2.0]), (5, [10.0, 20.0])], "token bigint, w array<double>"
+    )
+    monkeypatch.setattr(M, "fits_one_job", lambda config: fits)
+    got = {r["sample_id"]: r["logits"] for r in M.score(samples, state, TINY).collect()}
+    assert got == {i: [32.5, 63.5] if i == 1 else [0.5, -0.5] for i in range(6)}
+    empty = M.score(samples, M.zero_state(spark), TINY, "x")
+    assert {tuple(r["logits"]) for r in empty.collect()} == {(0.0, 0.0)}
+    assert M.score(samples.limit(0), state, TINY).collect() == []
+
+
+def test_a_score_moves_no_row(spark, capsys):
+    """Nothing of the samples is shuffled, exploded or joined, and no row carries the weights."""
+    samples = stage(synth_uniform(spark, 2, 8, TINY, seed=2))
+    state = spark.createDataFrame([(M.BIAS, [0.5, -0.5])], "token bigint, w array<double>")
+    M.score(samples, state, TINY).explain("formatted")
+    text = capsys.readouterr().out
+    tree = text.split("\n\n")[0]
+    assert "Scan parquet" in tree
+    assert not any(word in tree for word in ("Exchange", "Generate", "Join", "Aggregate"))
+    assert "_w0#" not in text
+
+
 class Hand:
     """The same classifier and optimizer on dense arrays."""
 
