@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import FeedConfig
-from millrace.session import BROADCAST_BYTES, stage
+from millrace.session import BROADCAST_BYTES, fresh_dir, stage
 
 # A key is hot if it holds more than one in so many rows; so there are at most as many hot keys.
 HOT_SHARE = 2000
@@ -99,23 +99,33 @@ def join_apart(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how:
     return out.select(*rows.columns, *[c for c in table.columns if c != key])
 
 
-def embedding_lookup(
-    tokens: DataFrame, table: DataFrame, dim: int, pad: int = 0, hot_ways: int = 16
-) -> DataFrame:
-    """Vector of each token: ``vec`` of ``table(token, vec)``, zeros for padding and unknown tokens.
+def bucketed_vectors(table: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """``table(token, vec)`` stored as table ``name`` in buckets by token, so that lookups shuffle the tokens alone.
 
-    A small table is broadcast. A large one is joined by shuffle, with the tokens spread over
-    ``hot_ways`` salted keys so that one frequent token does not fill one task.
+    The vectors are shuffled once, here. ``buckets`` should be no fewer than the session's shuffle partitions, or Spark may shuffle
+    them again. An existing table of that name is replaced.
+    """
+    spark = table.sparkSession
+    rows = table.repartition(buckets, "token")
+    rows.write.mode("overwrite").option("path", path or fresh_dir(spark, "vectors")).bucketBy(buckets, "token").sortBy("token").saveAsTable(name)
+    return spark.table(name)
+
+
+def embedding_lookup(tokens: DataFrame, table: DataFrame, dim: int, pad: int = 0) -> DataFrame:
+    """Vector of each token: ``vec`` of ``table(token, vec)``, zeros for padding, unknown and null tokens.
+
+    A small table is broadcast. Of a large one, which is best in buckets (``bucketed_vectors``), no row is copied: tokens are counted,
+    one row per token and task being shuffled; those of a large share keep their places and meet their broadcast vectors, at most
+    ``HOT_SHARE`` and ``BROADCAST_BYTES`` of them; the others are joined by shuffle or bucket. ``tokens`` is read three times then.
     """
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    vectors = table.where(F.col("token") != pad)
+    vectors = table.where(F.col("token") != pad).select("token", "vec")
     small = broadcast_if_small(vectors)
     if small is not vectors:
         joined = tokens.join(small, "token", "left")
     else:
-        # By a row's place in its task, so equal rows are spread too. Every salt has its copy of the vectors.
-        salted = tokens.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(hot_ways)))
-        ways = F.sequence(F.lit(0).cast("bigint"), F.lit(hot_ways - 1).cast("bigint"))
-        copies = vectors.withColumn("_salt", F.explode(ways))
-        joined = salted.join(copies, ["token", "_salt"], "left").drop("_salt")
-    return joined.withColumn("vec", F.coalesce("vec", zeros))
+        counts = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+        share = max(1, min(HOT_SHARE, BROADCAST_BYTES // (4 * dim + 64)))
+        hot = stage(hot_keys(counts.where(F.col("token").isNotNull()), "token", share=share), "hot-tokens")
+        joined = join_apart(tokens, vectors, "token", hot, "left")
+    return joined.select(*tokens.columns, F.coalesce("vec", zeros).alias("vec"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.config import FeedConfig
 from millrace.operators import batching as B
 from millrace.operators import joins as J
+from millrace.session import stage
 from millrace.sources.synth import synth_uniform, with_stall
 
 TINY = FeedConfig(batch_size=8, seq_len=5, vocab=50)
@@ -79,7 +80,7 @@ def test_shape_check(spark):
     assert [r["shard_id"] for r in J.shape_check(last, TINY).collect()] == [1]
 
 
-def test_embedding_lookup_broadcast_and_salted(spark, monkeypatch):
+def test_embedding_lookup_broadcast_and_shuffled(spark, monkeypatch):
     table = spark.range(20).select(F.col("id").alias("token"), F.array_repeat(F.col("id").cast("float"), 3).alias("vec"))
     tokens = spark.createDataFrame([(s, p, t) for s in range(5) for p, t in enumerate([0, 7, 7, 19, 25])], "s int, p int, token bigint")
     want = {(s, p, tuple([float(t if t < 20 else 0)] * 3)) for s in range(5) for p, t in enumerate([0, 7, 7, 19, 25])}
@@ -92,3 +93,37 @@ def test_embedding_lookup_broadcast_and_salted(spark, monkeypatch):
     assert found(J.embedding_lookup(tokens, table, 3)) == want
     alone = J.embedding_lookup(tokens.select("token"), table, 3)
     assert sorted((r["token"], r["vec"][0]) for r in alone.collect()) == sorted((t, float(t if t < 20 else 0)) for t in [0, 7, 7, 19, 25] * 5)
+
+
+def test_embedding_lookup_of_a_hot_token_in_buckets(spark, monkeypatch, capsys):
+    """One token holds half of the rows. Its rows are not shuffled, and no vector is."""
+    table = spark.range(3000).select(F.col("id").alias("token"), F.array_repeat(F.col("id").cast("float"), 3).alias("vec"))
+    token = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 101 == 1, F.lit(None)).otherwise(F.col("id") % 4000)
+    tokens = stage(spark.range(8000).select("id", token.cast("bigint").alias("token"), F.lit("kept").alias("extra")))
+    monkeypatch.setattr(J, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(J, "HOT_SHARE", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vectors = J.bucketed_vectors(table, "lookup_vectors", 8)
+        looked = J.embedding_lookup(tokens, vectors, 3)
+        looked.explain("formatted")
+        got = {r["id"]: (r["token"], r["vec"], r["extra"]) for r in looked.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS lookup_vectors")
+    want = {r["id"]: r["token"] for r in tokens.collect()}
+    assert len(got) == 8000
+    for i, t in want.items():
+        assert got[i] == (t, [float(t) if t is not None and t < 3000 else 0.0] * 3, "kept")
+    tree = capsys.readouterr().out.split("\n\n")[0]
+    # Of the plan's exchanges, one is of tokens that are not hot; the others are broadcasts of hot keys and their vectors.
+    assert sum("Exchange" in line and "Broadcast" not in line for line in tree.splitlines()) == 1
+    assert looked.columns == ["id", "token", "extra", "vec"]
+
+
+def test_embedding_lookup_of_no_tokens(spark, monkeypatch):
+    table = spark.range(5).select(F.col("id").alias("token"), F.array(F.col("id").cast("float")).alias("vec"))
+    none = spark.range(0).select(F.col("id").alias("token"))
+    assert J.embedding_lookup(none, table, 1).collect() == []
+    monkeypatch.setattr(J, "broadcast_if_small", lambda df: df)
+    assert J.embedding_lookup(none, table, 1).collect() == []
