@@ -20,9 +20,10 @@ from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import hot_keys, join_apart
 from millrace.session import file_store, fresh_dir, stage
 
 LEAST_BYTES = 100
@@ -31,6 +32,8 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_ROWS = 200_000
 # Fixed value: the time of the capture whose id is 0; a capture is one second later per id where no time is given.
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
+# About 1,900 years: ids further from 0 are captured at the time of id 0, as years have four digits.
+MAX_SECOND = 60_000_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = (
     "url_key string, capture_ts string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
@@ -67,12 +70,19 @@ def record(page_id: int | None, url: str | None, time: str, payload: bytes, dige
 
 
 def with_record_types(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """``pages`` (page_id, url, html, time) with ``_digest, _first``; the latter is null where nothing is revisited."""
+    """``pages`` (page_id, url, html, time) with ``_digest, _first``; the latter is null where nothing is revisited.
+
+    Payloads under ``least`` bytes take part in no join. Of the others, those that hold a large share of all copies stay where they
+    are and meet the broadcast list of their first ids (``hot_keys``, at most 2,000); only the rest are shuffled by their digest.
+    """
     html = F.coalesce("html", F.lit(""))
     marked = pages.withColumns({"_digest": F.sha2(html, 256), "_bytes": F.octet_length(html)})
+    long, short = marked.where(F.col("_bytes") >= least).drop("_bytes"), marked.where(F.col("_bytes") < least).drop("_bytes")
     # Combined before it is shuffled: one row per payload and task.
-    firsts = marked.where(F.col("_bytes") >= least).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    return marked.join(firsts.where("_n > 1").select("_digest", "_first"), "_digest", "left").drop("_bytes")
+    found = long.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    firsts = stage(found.where("_n > 1"), "payload-firsts")
+    hot = stage(hot_keys(firsts, "_digest", "_n"), "payload-hot")
+    return join_apart(long, firsts.drop("_n"), "_digest", hot, "left").unionByName(short.withColumn("_first", F.lit(None).cast("bigint")))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -247,6 +257,14 @@ def merged_history(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return ranged.mapInArrow(merge, f"{CAPTURE}, history_part bigint, history_pos bigint")
 
 
+def utc_text(seconds: Column) -> Column:
+    """Seconds since 1970 as ``yyyy-MM-ddTHH:mm:ssZ``, whatever the session's zone; null where they are."""
+    clock = F.pmod(seconds, F.lit(86400).cast("bigint"))
+    day = F.date_from_unix_date(F.call_function("div", seconds - clock, F.lit(86400)).cast("int")).cast("string")
+    parts = [F.call_function("div", clock, F.lit(3600)), F.call_function("div", clock, F.lit(60)) % 60, clock % 60]
+    return F.when(seconds.isNotNull(), F.format_string("%sT%02d:%02d:%02dZ", day, *parts))
+
+
 def archive_pages(
     pages: DataFrame,
     folder: str | None = None,
@@ -263,14 +281,16 @@ def archive_pages(
     A null html is an empty payload; empty and other payloads under ``least`` bytes are responses each. Where several rows have the
     smallest id of equal payloads, each of them is a response. A null id is never smallest: such a row is a revisit where an
     equal payload has an id, else a response. A null or unreadable url has an empty key and sorts first. Repeated rows are
-    captures of their own; no rows give none. Other columns are not passed on.
+    captures of their own; no rows give none. Other columns are not passed on. Times are written in UTC; a time column without a
+    zone is of the session's, and a null time is empty.
     """
     folder = folder or fresh_dir(pages.sparkSession, "warc")
     if time_col is None:
-        first = int(FIRST_CAPTURE.timestamp())
-        time = F.date_format(F.timestamp_seconds(F.lit(first) + F.coalesce(id_col, F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        page = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0))
+        seconds = F.lit(int(FIRST_CAPTURE.timestamp())) + F.when(page.between(-MAX_SECOND, MAX_SECOND), page).otherwise(0)
     else:
-        time = F.date_format(F.col(time_col), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        seconds = F.unix_seconds(F.col(time_col).cast("timestamp"))
+    time = utc_text(seconds.cast("bigint"))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(time, F.lit("")).alias("time"))
     archives = write_archives(rows, folder, least, archive_bytes)
     n = archives.count()

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import public_tokenizers
@@ -352,6 +353,39 @@ def test_warc(spark):
     assert order == sorted(order) and len({r.archive for r in got}) > 2
 
 
+def test_warc_times_are_utc(spark):
+    """Whatever the session's zone, an hour that occurs twice there included; ids too far from 0 have the time of id 0."""
+    hour = 1_730_612_400 - 1_704_067_200  # 2024-11-03 05:40 UTC: 1:40 in New York, and so is the hour after it
+    ids = [0, 1, hour, hour + 3600, -5, 2**62, -(2**62), None]
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", "x") for i in ids], "page_id bigint, url string, html string")
+    timed = spark.range(1).select(F.lit(1).alias("page_id"), F.lit("http://a").alias("url"), F.lit("x").alias("html"), F.timestamp_seconds(F.lit(1_730_612_400)).alias("t"))
+    found = []
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = {r.page_id: r.capture_ts for r in warc.archive_pages(pages).collect()}
+            found.append((got, warc.archive_pages(timed, time_col="t").first().capture_ts))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    first = datetime(2024, 1, 1, tzinfo=UTC)
+    text = lambda s: (first + timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    want = {i: text(i if i is not None and abs(i) < 2**40 else 0) for i in ids}
+    assert found == [(want, "2024-11-03T05:40:00Z")] * 2
+
+
+def test_warc_of_one_payload_on_a_third_of_the_pages(spark):
+    """A hot payload's pages and short ones are told apart without a shuffle of their html; the rows are those of a plain grouping."""
+    hot, pairs = "h" * 300, [f"{k:04d}" * 40 for k in range(120)]
+    texts = [hot if i % 3 == 0 else "short" if i % 3 == 1 else pairs[i % 120] if i % 2 else f"one {i} " * 30 for i in range(1200)]
+    pages = spark.createDataFrame([(i + 10, f"http://a/{i}", t, "") for i, t in enumerate(texts)], "page_id bigint, url string, html string, time string")
+    got = {r.page_id: r["_first"] for r in warc.with_record_types(pages).collect()}
+    least = {}
+    for i, t in enumerate(texts):
+        least.setdefault(t, i + 10)
+    seen = Counter(texts)
+    assert got == {i + 10: least[t] if len(t) >= 100 and seen[t] > 1 else None for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
 def test_loser_tree(k):
     r = random.Random(k)
