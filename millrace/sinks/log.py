@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.files import qualified
+from millrace.sinks.compact import read_compacted
+
 
 def append_log(rows: DataFrame, path: str, run_id: str, batch_id: int) -> None:
     """Rows of one micro-batch under its own folder; a second run of it replaces the first."""
@@ -13,7 +16,8 @@ def append_log(rows: DataFrame, path: str, run_id: str, batch_id: int) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """All rows of a log, merged (``compact_log``) or not."""
+    return read_compacted(spark, qualified(spark, path), schema)
 
 
 def latest(log: DataFrame, keys: list[str], run_id: str | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ from millrace.files import qualified
 from millrace.operators.metrics import weighted_mean
 from millrace.operators.model import Weights, fits_one_job, log_shard, log_step, state_after, train_shard, train_step, zero_state
 from millrace.schemas import MODEL_STATE
-from millrace.sinks.log import append_log, latest
+from millrace.sinks.compact import compact_log
+from millrace.sinks.log import append_log, latest, read_log
 from millrace.sinks.publish import retire_consumed
 from millrace.sinks.store import end_store, publish, store_ended
 from millrace.sources.store import Store, index_of, retire_taken, stream_store
@@ -303,16 +304,15 @@ def phase_metrics(stream: DataFrame, by: list[str]) -> DataFrame:
 
 
 def keep_metrics(
-    metrics: DataFrame, run_dir: str, by: list[str], run_id: str = "run", interval: str | None = None
+    metrics: DataFrame, run_dir: str, by: list[str], run_id: str = "run", interval: str | None = None, compact_every: int = 16
 ) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
-    """Keep running metrics in a log of updates: (query, function that gives the newest per group)."""
+    """Keep running metrics in a log of updates: (query, function that gives the newest per group).
+
+    Every ``compact_every`` micro-batches the log is merged down to the newest row of each group, so it grows with the groups alone.
+    """
     spark = metrics.sparkSession
     path = f"{run_dir}/metrics"
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        append_log(batch, path, run_id, batch_id)
-
-    query = run_stream(metrics, handle, f"{run_dir}/checkpoint", interval, mode="update")
     logged = T.StructType(
         [
             *metrics.schema.fields,
@@ -320,4 +320,11 @@ def keep_metrics(
             T.StructField("batch_id", T.LongType()),
         ]
     )
-    return query, lambda: latest(spark.read.schema(logged).parquet(path), by, run_id)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        append_log(batch, path, run_id, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            compact_log(batch.sparkSession, path, logged, by)
+
+    query = run_stream(metrics, handle, f"{run_dir}/checkpoint", interval, mode="update")
+    return query, lambda: latest(read_log(spark, path, logged), by, run_id)

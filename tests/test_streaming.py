@@ -143,13 +143,14 @@ def test_training_from_the_stream_is_training_from_the_table(spark):
     assert by_shard(train(spark, path, run, fails_once)) == by_shard(want)
 
 
-def test_running_metrics(spark):
+@pytest.mark.parametrize("compact_every", [2, 16])
+def test_running_metrics(spark, compact_every):
     path = fresh_dir(spark, "log")
     schema = "run int, phase string, ms double"
     rows = [(i % 3, "wait" if i % 2 else "load", float(i)) for i in range(30)]
     spark.createDataFrame(rows, schema).repartition(4).write.parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query, newest = S.keep_metrics(S.phase_metrics(stream, ["run", "phase"]), fresh_dir(spark, "m"), ["run", "phase"])
+    query, newest = S.keep_metrics(S.phase_metrics(stream, ["run", "phase"]), fresh_dir(spark, "m"), ["run", "phase"], compact_every=compact_every)
     query.awaitTermination()
     got = {(r["run"], r["phase"]): (r["n"], r["sum_ms"], r["min_ms"], r["max_ms"]) for r in newest().collect()}
     want = {}
