@@ -75,7 +75,8 @@ def _dense_weights(state: DataFrame, config: FeedConfig) -> Column:
     It is an uncorrelated scalar subquery, the plan's only look at ``state``, and of at most ``vocab + 1`` rows, whose size
     ``fits_one_job`` has checked.
     """
-    every = state.sparkSession.range(BIAS, config.vocab).select(F.col("id").alias("token"))
+    # One partition, of a size that has been checked, so nothing is exchanged to gather it.
+    every = state.sparkSession.range(BIAS, config.vocab, 1, 1).select(F.col("id").alias("token"))
     known = state.where(F.col("token") != config.pad).select("token", "w")
     held = every.join(F.broadcast(known), "token", "left").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("_held"))
     tokens = F.slice("_held", 2, config.vocab)
