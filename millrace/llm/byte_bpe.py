@@ -6,14 +6,15 @@ the leftmost position; both lie in one integer, so a node is the minimum of its
 next merge. A merge changes three leaves (the pair itself, the pair before it, the start that is gone),
 each updated along its path: O(log n) per merge, O(n log n) for a pre-token of n bytes.
 
-Many pre-tokens of about equal length are worked on together as one array of trees; a long one is an array
-of one tree.
+Many pre-tokens of about equal length are worked on together as one array of trees. Where there are few of a length,
+long ones above all, each is a tree of plain integers: its updates end where a node keeps its value.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from millrace.llm.pretokens import HashTable, _mixed
 NONE = np.iinfo(np.int64).max
 # Leaves that are worked on together.
 LEAVES = 1 << 19
+# Fewer pre-tokens than this are not worth arrays of trees.
+FEW = 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,14 +54,15 @@ class RankEncoder:
         keys = _mixed(np.fromiter(pairs, np.uint64, len(pairs)) + np.uint64(1))
         self.pairs = HashTable(max(2, int(len(pairs)).bit_length() + 1))
         self.pairs.add(keys, np.fromiter(pairs.values(), np.int32, len(pairs)))
+        self.rank_of = pairs
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, -1 where the two together are no token."""
         keys = _mixed((left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) + np.uint64(1))
         return self.pairs.find(keys)
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = [w.encode() for w in words]
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [w.encode() for w in texts]
         found: list[np.ndarray | None] = [None] * len(raw)
         groups: dict[int, list[int]] = {}
         for i, word in enumerate(raw):
@@ -71,7 +75,9 @@ class RankEncoder:
             at_once = max(1, LEAVES >> bits)
             for first in range(0, len(members), at_once):
                 part = members[first : first + at_once]
-                for i, ids in zip(part, self._merged([raw[i] for i in part], bits)):
+                few = len(part) < FEW
+                words = [raw[i] for i in part]
+                for i, ids in zip(part, map(self._merged_alone, words) if few else self._merged(words, bits)):
                     found[i] = ids
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.concatenate(found) if found else np.zeros(0, np.int32), counts
@@ -130,6 +136,58 @@ class RankEncoder:
         flat = token[:, :m][live].astype(np.int32)
         return np.split(flat, np.cumsum(live.sum(axis=1))[:-1])
 
+    def _merged_alone(self, word: bytes) -> np.ndarray:
+        """Ids of one word of two bytes or more."""
+        size = len(word)
+        bits = (size - 1).bit_length()
+        m = 1 << bits
+        first = self.of_byte[np.frombuffer(word, np.uint8)]
+        rank = self.pair_ranks(first[:-1], first[1:]).astype(np.int64)
+        levels = [np.full(m, NONE)]
+        levels[0][: size - 1] = np.where(rank < 0, NONE, rank << bits | np.arange(size - 1))
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        # Node 1 is the root, the children of node i are 2 * i and 2 * i + 1.
+        tree = array("q", np.concatenate([[NONE], *reversed(levels)]).astype(np.int64).tobytes())
+        token = array("q", first.tobytes())
+        after, before = array("q", range(1, size + 1)), array("q", range(-1, size - 1))
+        rank_of = self.rank_of.get
+
+        def put(place: int, value: int) -> None:
+            node = place + m
+            tree[node] = value
+            while node > 1:
+                beside = tree[node ^ 1]
+                if beside < value:
+                    value = beside
+                node >>= 1
+                if tree[node] == value:
+                    return
+                tree[node] = value
+
+        def pair_value(place: int, right: int) -> int:
+            found = rank_of(token[place] << 32 | token[right])
+            return NONE if found is None else found << bits | place
+
+        while (top := tree[1]) != NONE:
+            place = top & (m - 1)
+            gone = after[place]
+            behind = after[gone]
+            token[place] = top >> bits
+            token[gone] = -1
+            after[place] = behind
+            put(gone, NONE)
+            if behind < size:
+                before[behind] = place
+                put(place, pair_value(place, behind))
+            else:
+                put(place, NONE)
+            ahead = before[place]
+            if ahead >= 0:
+                put(ahead, pair_value(ahead, place))
+        left = np.frombuffer(token, np.int64)
+        return left[left >= 0].astype(np.int32)
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
