@@ -12,6 +12,7 @@ tested part is too short is dropped, and the search goes on behind it.
 from __future__ import annotations
 
 import re._parser as regex_parser
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -25,6 +26,9 @@ MOST_CLAUSES = 64
 SMALL_CLASS = 5
 # Bits of one mask of found trigrams.
 MASK_BITS = 62
+# Items of an array that are gone through at a time, and the power of two of characters in a chunk of a text.
+BLOCK = 128
+CHUNK_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -166,6 +170,35 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.where(F.size("_asked") > 0)
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once however often functions of arrays in ``then`` ask for it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _before(items: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number of an array the ``join`` of 0 and all those ahead of it.
+
+    An array grows by being copied, so the numbers are joined by blocks first and then within each block.
+    """
+    none = F.array().cast("array<int>")
+
+    def through(numbers: Column, at: Column) -> Column:
+        return F.aggregate(
+            numbers, F.struct(at.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def blocks(all_items: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), F.lit(BLOCK))
+        return F.transform(firsts, lambda first: F.slice(all_items, first, F.lit(BLOCK)))
+
+    def starts(cut: Column) -> Column:
+        return through(F.transform(cut, lambda block: F.aggregate(block, F.lit(0), join)), F.lit(0))
+
+    return _bound(_bound(items, blocks), lambda cut: F.flatten(F.zip_with(cut, starts(cut), through)))
+
+
 def _spans(text: Column, rule: Rule, no: int) -> Column:
     """array<struct<start, no, end>> of a rule's matches in a text that is known to have some."""
     pattern = F.lit(rule.java)
@@ -173,15 +206,12 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.tested))
     sizes = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("hit")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        one = F.struct(start.alias("start"), (start + s["hit"]).alias("end"))
-        return F.struct((start + s["hit"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def place(sized: Column) -> Column:
+        ahead = _before(F.transform(sized, lambda s: s["gap"] + s["hit"]), lambda a, b: a + b)
+        return F.zip_with(sized, ahead, lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + s["hit"]).alias("end")))
 
-    placed = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    marked = F.zip_with(placed, tested, lambda p, t: F.struct(
+    marked = F.zip_with(_bound(sizes, place), tested, lambda p, t: F.struct(
         p["start"].alias("start"), F.lit(no).alias("no"), p["end"].alias("end"), (F.char_length(t) >= rule.least).alias("ok")))
     return F.transform(F.filter(marked, lambda m: m["ok"]), lambda m: F.struct(m["start"], m["no"], m["end"]))
 
@@ -257,16 +287,24 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
     found = find_spans(docs, rules, id_col, text_col, name)
     text, spans = F.col(text_col), F.col(name)
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.when(
-            s["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        ).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between).alias("out"))
-
-    cleaned = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
+    # What stays, from the end of all before to the start of the next span; a position is looked for in its chunk alone.
+    ahead = _before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    stays = F.filter(
+        F.zip_with(spans, ahead, lambda s, at: F.struct(at.alias("at"), s["start"].alias("upto"))), lambda c: c["upto"] >= c["at"]
     )
+    last = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("at"), F.char_length(text).alias("upto"))
+    size = 1 << CHUNK_BITS
+
+    def piece(chunks: Column, c: Column) -> Column:
+        def part(k: Column) -> Column:
+            low = F.greatest(c["at"] - k * size, F.lit(0))
+            return F.substr(F.get(chunks, k), low + 1, F.least(c["upto"] - k * size, F.lit(size)) - low)
+
+        numbers = F.sequence(F.shiftright(c["at"], CHUNK_BITS), F.shiftright(c["upto"] - 1, CHUNK_BITS), F.lit(1))
+        return F.when(c["upto"] > c["at"], F.array_join(F.transform(numbers, part), "")).otherwise(F.lit(""))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    cleaned = F.array_join(_bound(chunks, lambda held: F.transform(F.concat(stays, F.array(last)), lambda c: piece(held, c))), mark)
     return found.withColumn(text_col, F.when(F.size(spans) > 0, cleaned).otherwise(text)).select(*docs.columns)
 
 
