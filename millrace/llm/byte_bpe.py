@@ -29,8 +29,9 @@ from millrace.llm.pretokens import HashTable, _mixed
 NONE = np.iinfo(np.int64).max
 # Leaves that are worked on together.
 LEAVES = 1 << 19
-# Fewer pre-tokens than this are not worth arrays of trees.
+# Fewer pre-tokens than this are not worth arrays of trees, if they have more bytes than two to the power of SHORT.
 FEW = 24
+SHORT = 5
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,7 +76,7 @@ class RankEncoder:
             at_once = max(1, LEAVES >> bits)
             for first in range(0, len(members), at_once):
                 part = members[first : first + at_once]
-                few = len(part) < FEW
+                few = bits > SHORT and len(part) < FEW
                 words = [raw[i] for i in part]
                 for i, ids in zip(part, map(self._merged_alone, words) if few else self._merged(words, bits)):
                     found[i] = ids
