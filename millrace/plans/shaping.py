@@ -207,7 +207,8 @@ _HUMAN = "CASE {} ELSE printf('%6.1f TiB', b / 1099511627776.0::DOUBLE) END".for
     "(SELECT shard_id, n * sample_size * (shard_id * shard_id * shard_id + 1) AS b FROM batches)",
 )
 def human_bytes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("shard_id")
+    # Past 2**63 bytes in larger tables, so in whole decimals.
+    s = F.col("shard_id").cast("decimal(20,0)")
     size = batch_bytes(F.col("n"), F.col("sample_size")) * (s * s * s + 1)
     return inputs.line_batches(spark, sf_dir).select("shard_id", human_bytes(size).alias("size"))
 

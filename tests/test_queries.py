@@ -92,3 +92,14 @@ def test_wide_rows_are_not_numbered_in_one_task(spark, name):
 def test_only_needed_columns_are_read(spark):
     text = plan(spark, "next_shard")
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in text
+
+
+def test_large_byte_counts_do_not_overflow(spark, monkeypatch):
+    """Above 2**63 bytes, where a product of long integers fails."""
+    from millrace.plans import inputs
+
+    batches = spark.createDataFrame([(36000, 1000, 4088), (2_000_000, 1000, 4088), (3, 10, 8), (0, 10, 0)], "shard_id bigint, n bigint, sample_size bigint")
+    monkeypatch.setattr(inputs, "line_batches", lambda spark, sf_dir: batches)
+    got = {r.shard_id: r.size for r in QUERIES["human_bytes"](spark, SMALL).collect()}
+    want = {s: 1000 * 4088 * (s**3 + 1) / 1024**4 for s in (36000, 2_000_000)}
+    assert got == {s: f"{v:6.1f} TiB" for s, v in want.items()} | {3: "   2.2 KiB", 0: "   0.0 B"}
