@@ -225,3 +225,59 @@ def test_small_files_appear_once(spark):
     with open(local_path(path)) as f:
         assert json.load(f) == {"a": 1}
     assert [n for n in os.listdir(os.path.dirname(local_path(path))) if n.endswith(".tmp")] == []
+
+
+@pytest.mark.parametrize("kind", ["typed", "raw"])
+@pytest.mark.parametrize("file_bytes", [sink.FILE_BYTES, 8 * 8 * 6])
+def test_a_few_shards_are_published_as_many_are(spark, kind, file_bytes):
+    """Same rows and index whether sizes go through the driver or through tables, in one file or in several."""
+    found = []
+    for few in (False, True):
+        path = store(spark, (0, 1, 2), (7, 5), kind=kind, few=few, file_bytes=file_bytes)
+        index = source.index_of(spark, path).orderBy("shard_id").drop("file", "published_us").collect()
+        back = source.read_store(spark, path) if kind == "typed" else unpack_shards(shape_raw(source.read_raw_store(spark, path), TINY)[0])
+        found.append(([tuple(r) for r in index], rows(back), taken(spark, path, fresh_dir(spark, "run"), kind=kind, max_in_flight=2)))
+        with pytest.raises(ValueError, match="allowed"):
+            sink.publish(samples(spark, (9,)), path, kind, cap=8 * 8 * 6, few=few)
+    assert found[0] == found[1] and found[0][2] == [[0, 1], [2, 5], [7]]
+    empty = store(spark, kind=kind)
+    assert sink.publish(samples(spark, (0,)).where("false"), empty, kind, few=True).count() == 0
+
+
+def test_one_shard_is_read_without_its_whole_file(spark, monkeypatch):
+    """Files have row groups of about GROUP_BYTES, so a reader of one shard decodes few others."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(sink, "GROUP_BYTES", 4096)
+    path = sink.create_store(spark, fresh_dir(spark, "store"))
+    wide = FeedConfig(batch_size=64, seq_len=64, vocab=5000)
+    sink.publish(synth_uniform(spark, 32, 64, wide), path)
+    (file,) = data_files(path)
+    (name,) = [os.path.join(d, file) for d, _, names in os.walk(local_path(path) + "/data") if file in names]
+    groups = pq.ParquetFile(name).metadata
+    assert groups.num_row_groups > 8 and max(groups.row_group(g).num_rows for g in range(groups.num_row_groups)) < 64 * 4
+    held = source.Store(qualified(spark, path))
+    row = held.rows(held.newest(), 9, 10).to_pylist()[0]
+    got = list(source.read_rows(held, row["file"], [(9, row["first"], row["size"])]))
+    assert sum(b.num_rows for b in got) == 64 and {n for b in got for n in b.column("shard_id").to_pylist()} == {9}
+
+
+def test_spans_are_read_by_the_index(spark):
+    """Only files of the span are opened, and none that were retired."""
+    path = store(spark, (0, 1, 2, 3), (4, 5), file_bytes=2 * 8 * 8 * 6)
+    assert len(data_files(path)) == 3
+    span = source.read_store(spark, path, 2, 4)
+    assert len(span.inputFiles()) == 2 and {r.shard_id for r in span.collect()} == {2, 3, 4}
+    assert source.shards_between(spark, path, 1, 4) == [1, 2, 3, 4] and source.shards_between(spark, path, 6, 9) == []
+    source.retire_taken(source.Store(qualified(spark, path)), {"next": 4, "version": 2})
+    assert {r.shard_id for r in source.read_store(spark, path, 0, 9).collect()} == {4, 5}
+    assert source.read_store(spark, path, 0, 3).count() == 0
+
+
+def test_raw_words_of_a_file_are_shared_out_to_tasks():
+    size = source.PIECE_BYTES // 4
+    cut = source._cut([(i, i * size, size) for i in range(16)])
+    assert [len(run) for run in cut] == [4, 4, 4, 4] and [s[0] for run in cut for s in run] == list(range(16))
+    many = source._cut([(i, i * size, size) for i in range(1000)])
+    assert len(many) == source.PIECES and [s[0] for run in many for s in run] == list(range(1000))
+    assert source._cut([(0, 0, 9 * source.PIECE_BYTES)]) == [[(0, 0, 9 * source.PIECE_BYTES)]]

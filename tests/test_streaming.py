@@ -158,3 +158,25 @@ def test_running_metrics(spark, compact_every):
         n, s, lo, hi = want.get((run, phase), (0, 0.0, ms, ms))
         want[(run, phase)] = (n + 1, s + ms, min(lo, ms), max(hi, ms))
     assert got == want
+
+
+def test_a_micro_batch_of_one_partition_is_not_shuffled(spark):
+    """Shuffle partitions are set for the whole run, so a shuffle would cost each small micro-batch as many tasks."""
+    rows = synth_uniform(spark, 3, 8, TINY)
+
+    def exchanges(df):
+        return df.groupBy("shard_id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    one = rows.coalesce(1)
+    assert exchanges(S.gathered(one.localCheckpoint())) == 0
+    several = rows.repartition(3)
+    assert exchanges(S.gathered(several)) > 0 and S.gathered(several).rdd.getNumPartitions() == 3
+
+
+def test_phases_are_logged_by_shard(spark, shards):
+    run = fresh_dir(spark, "run")
+    S.drain_shards(spark, shards, run, S.phase_log_handler(S.shard_log_handler(f"{run}/work", "r"), f"{run}/log", "r"), 4)
+    log = spark.read.schema(S.PHASE_COLUMNS).parquet(f"{run}/log").orderBy("shard_id").collect()
+    assert [(r.shard_id, r.n, r.bytes) for r in log] == [(s, 8, 8 * 8 * 6) for s in range(6)]
+    assert all(r.load_ms > 0 and r.train_ms > 0 and r.finish_us for r in log)
+    assert spark.read.schema(LOG).parquet(f"{run}/work").count() == 6
