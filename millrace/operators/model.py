@@ -12,18 +12,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from millrace.config import LEARNING_RATE, WORD_BYTES, FeedConfig
+from millrace.files import qualified
 from millrace.operators.batching import minibatches, shuffle_within_shard
 from millrace.schemas import MODEL_STATE, SHARD_LOG
-from millrace.session import BROADCAST_BYTES, stage
-from millrace.sinks.log import append_log, read_log
+from millrace.session import BROADCAST_BYTES, file_store, stage
+from millrace.sinks.log import append_log, append_rows, read_log
 
 BIAS = -1
 # Fixed values of the optimizer.
@@ -311,6 +314,8 @@ class Weights:
 
 # Rows of the sums that are no tokens: samples and right ones, loss and bytes.
 _COUNTS, _LOSSES = -2, -3
+# So many tasks of a step may send their sums, at most vocab + 1 each, straight to the driver.
+FEW_TASKS = 8
 
 
 def step_sums(samples: DataFrame, state: Weights, config: FeedConfig) -> tuple[np.ndarray, np.ndarray, list[dict]]:
@@ -366,15 +371,22 @@ def step_sums(samples: DataFrame, state: Weights, config: FeedConfig) -> tuple[n
         )
 
     parts = samples.select("shard_id", "x", "y").mapInArrow(run, "shard_id bigint, token bigint, " + ", ".join(f"g{k} double" for k in range(wide)))
-    found = parts.groupBy("shard_id", "token").agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(wide)]).collect()
+    # The sums of a few tasks are added up here; those of many are shuffled by token first.
+    if parts.rdd.getNumPartitions() > FEW_TASKS:
+        parts = parts.groupBy("shard_id", "token").agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(wide)])
+    found = parts.toArrow()
+    shard, token = found["shard_id"].to_pylist(), found["token"].to_numpy()
+    sums = np.stack([found[f"g{k}"].to_numpy() for k in range(wide)], axis=1)
     g, touched, metrics = np.zeros((rows, classes)), np.zeros(rows, bool), {}
-    for row in found:
-        if row.token >= BIAS:
-            g[row.token], touched[row.token] = row[2 : 2 + classes], True  # -1 is the last row
-        elif row.token == _COUNTS:
-            metrics.setdefault(row.shard_id, {}).update(n=int(row.g0), correct=int(row.g1))
+    at = np.flatnonzero(token >= BIAS)
+    np.add.at(g, token[at], sums[at, :classes])  # -1 is the last row
+    touched[token[at]] = True
+    for i in np.flatnonzero(token < BIAS):
+        m = metrics.setdefault(shard[i], {"n": 0, "correct": 0, "loss_sum": 0.0, "bytes": 0})
+        if token[i] == _COUNTS:
+            m["n"], m["correct"] = m["n"] + int(sums[i, 0]), m["correct"] + int(sums[i, 1])
         else:
-            metrics.setdefault(row.shard_id, {}).update(loss_sum=row.g0, bytes=int(row.g1))
+            m["loss_sum"], m["bytes"] = m["loss_sum"] + float(sums[i, 0]), m["bytes"] + int(sums[i, 1])
     return g, touched, [{"shard_id": s, **metrics[s]} for s in sorted(metrics)]
 
 
@@ -395,14 +407,16 @@ STEP_LOG = StructType([f for f in SHARD_LOG.fields if f.name not in ("run_id", "
 def log_step(spark: SparkSession, metrics: list[dict], state: Weights, path: str, run_id: str, batch_id: int) -> None:
     """The log rows of a step's shards and, with the first of them, the state after it; one file."""
     content = state.packed()
-    rows = [[*[m[f] for f in STEP_LOG.fieldNames()[:-1]], content if k == 0 else None] for k, m in enumerate(metrics)]
-    append_log(spark.createDataFrame(rows, STEP_LOG).coalesce(1), path, run_id, batch_id)
+    rows = [{**{f: m[f] for f in STEP_LOG.fieldNames()[:-1]}, "state": content if k == 0 else None} for k, m in enumerate(metrics)]
+    append_rows(spark, pa.Table.from_pylist(rows, to_arrow_schema(STEP_LOG)), path, run_id, batch_id)
 
 
 def state_after(spark: SparkSession, path: str, run_id: str, batch_id: int, config: FeedConfig) -> Weights:
     """The state that a step has left; what it was before the first one where the step had no rows."""
-    held = spark.read.schema("state binary").parquet(f"{path}/run_id={run_id}/batch_id={batch_id}").where("state IS NOT NULL").first()
-    return Weights(config).unpack(held["state"]) if held else Weights(config)
+    store, root = file_store(f"{qualified(spark, path)}/run_id={run_id}/batch_id={batch_id}")
+    with store.open_input_file(f"{root}/rows.parquet") as opened:
+        held = pq.read_table(opened, columns=["state"])["state"].drop_null()
+    return Weights(config).unpack(held[0].as_py()) if len(held) else Weights(config)
 
 
 def train_over_shards(
@@ -413,13 +427,16 @@ def train_over_shards(
     seed: int = 0,
     run_id: str = "run",
     shards_per_step: int = 1,
+    span: Callable[[int, int], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """One pass over numbered shards in order: (shard log, final state).
 
-    A step takes the next ``shards_per_step`` shards and two jobs: one brings their summed gradient, one writes the log rows and the
-    state. With ``minibatch``, or where the state is too large to be sent along, steps go through tables, one shard after another.
+    A step takes the next ``shards_per_step`` shards: one job brings their summed gradient, and the driver writes the log rows and the
+    state. ``span``, if given, reads the shards from one number to another, both included, from just the files that hold them; without
+    it a step looks at all of ``shards``. With ``minibatch``, or where the state is too large to be sent along, steps go through tables, one shard after another.
     """
     spark = shards.sparkSession
+    span = span or (lambda low, high: shards.where(F.col("shard_id").between(low, high)))
     # Numbers alone: the driver takes them in order, as many as a step is to have.
     numbers = [r["shard_id"] for r in shards.select("shard_id").distinct().orderBy("shard_id").collect()]
     append_log(spark.createDataFrame([], SHARD_LOG).drop("run_id", "batch_id"), f"{run_dir}/log", run_id, -1)
@@ -427,15 +444,14 @@ def train_over_shards(
         held = Weights(config)
         for order, at in enumerate(range(0, len(numbers), shards_per_step)):
             mine = numbers[at : at + shards_per_step]
-            metrics = train_step(shards.where(F.col("shard_id").between(mine[0], mine[-1])), held, config)
+            metrics = train_step(span(mine[0], mine[-1]), held, config)
             log_step(spark, metrics, held, f"{run_dir}/log", run_id, order)
         state = held.table(spark)
     else:
         state, step = zero_state(spark), 0
         for order, shard_id in enumerate(numbers):
-            shard = shards.where(F.col("shard_id") == shard_id)
             state, step, m = train_shard(
-                shard, state, step, config, f"{run_dir}/state/shard={shard_id}", minibatch, seed
+                span(shard_id, shard_id), state, step, config, f"{run_dir}/state/shard={shard_id}", minibatch, seed
             )
             log_shard(spark, m, shard_id, f"{run_dir}/log", run_id, order)
     return read_log(spark, f"{run_dir}/log", SHARD_LOG).where(F.col("batch_id") >= 0), state

@@ -197,3 +197,28 @@ def test_a_step_takes_two_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     # Adaptive execution submits the shuffle of a gradient as a job of its own.
     assert many - few <= 3 * 3
+
+
+def test_a_step_adds_up_few_tasks_as_it_shuffles_many(spark, monkeypatch):
+    samples = stage(synth_uniform(spark, 4, 8, TINY).repartition(5))
+    state = M.Weights(TINY)
+    g, touched, metrics = M.step_sums(samples, state, TINY)
+    monkeypatch.setattr(M, "FEW_TASKS", 0)
+    g2, touched2, metrics2 = M.step_sums(samples, state, TINY)
+    assert np.allclose(g, g2) and (touched == touched2).all() and [m["shard_id"] for m in metrics] == [0, 1, 2, 3]
+    for a, b in zip(metrics, metrics2):
+        assert a == pytest.approx(b) and a["n"] == 8
+
+
+def test_training_by_spans_reads_the_same(spark):
+    shards = stage(synth_uniform(spark, 5, 8, TINY))
+    spans = []
+
+    def span(low, high):
+        spans.append((low, high))
+        return shards.where(F.col("shard_id").between(low, high))
+
+    plain, _ = M.train_over_shards(shards, TINY, fresh_dir(spark, "plain"), shards_per_step=2)
+    spanned, _ = M.train_over_shards(shards, TINY, fresh_dir(spark, "spans"), shards_per_step=2, span=span)
+    rows = [sorted((r.shard_id, r.batch_id, r.n, r.correct, round(r.loss, 9)) for r in log.collect()) for log in (plain, spanned)]
+    assert rows[0] == rows[1] and spans == [(0, 1), (2, 3), (4, 4)]
