@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import timeline
-from millrace.session import fresh_dir
+from millrace.session import fresh_dir, local_path
 from millrace.streaming import bounded
 from millrace.streaming.feed import keep_metrics, run_stream
 
@@ -106,3 +108,33 @@ def test_live_backlog_ends_as_the_table_says(spark, delay):
     assert {s: (row.peak_items, row.peak_bytes) for s, row in got.items()} == want
     assert all(row["items"] == 0 and row.bytes_held == 0 for row in got.values())
     assert all((row.waiting < 80) == (delay == "20 seconds") for row in got.values())
+
+
+def test_held_figures_against_a_loop():
+    r = random.Random(3)
+    changes = [(at, r.choice((1, -1)), at, r.randint(-5, 5)) for at in range(50)]
+    held = bounded.Held(2, 7, 3, 9)
+    items, size, peaks = 2, 7, [3, 9]
+    for part in (changes[:20], changes[20:20], changes[20:]):
+        held.take(np.array(part, np.int64).reshape(-1, 4))
+        for _, delta, _, b in part:
+            items, size = items + delta, size + b
+            peaks = [max(peaks[0], items), max(peaks[1], size)]
+        assert held.figures() == (items, size, *peaks)
+
+
+def test_state_partitions_go_by_the_stream_not_by_the_session(spark):
+    """They are set where the stream starts, and the session keeps its own."""
+    from millrace.session import shuffles_of
+
+    path, run = fresh_dir(spark, "events"), fresh_dir(spark, "run")
+    spark.createDataFrame([(0, i, "ready") for i in range(5)], EVENTS).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    with shuffles_of(spark, 1):
+        query = run_stream(bounded.hold_back(spark.readStream.schema(EVENTS).parquet(path), "stream", 2), lambda b, i: seen.extend(b.collect()), f"{run}/c")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    query.awaitTermination()
+    assert [r.shard_id for r in seen] == [0, 1]
+    state = local_path(f"{run}/c/state/0")
+    assert [d for d in os.listdir(state) if d.isdigit()] == ["0"]
