@@ -281,3 +281,44 @@ def test_raw_words_of_a_file_are_shared_out_to_tasks():
     many = source._cut([(i, i * size, size) for i in range(1000)])
     assert len(many) == source.PIECES and [s[0] for run in many for s in run] == list(range(1000))
     assert source._cut([(0, 0, 9 * source.PIECE_BYTES)]) == [[(0, 0, 9 * source.PIECE_BYTES)]]
+
+
+def test_a_few_shards_are_published_in_one_job(spark):
+    """One task looks at their sizes and writes them, and index files are merged by the driver."""
+    path, context = sink.create_store(spark, fresh_dir(spark, "store")), spark.sparkContext
+    held = samples(spark, range(8)).localCheckpoint()
+    context.setJobGroup("few", "few")
+    try:
+        for k in range(0, 8, 2):
+            sink.publish_few(held.where(F.col("shard_id").between(k, k + 1)), path, merge_at=2)
+        assert len(context.statusTracker().getJobIdsForGroup("few")) == 4
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    index = source.index_of(spark, path).orderBy("shard_id").collect()
+    assert [(r.shard_id, r.version, r.n, r.bytes) for r in index] == [(s, 1 + s // 2, 8, 8 * 48) for s in range(8)]
+    assert len(source.Store(qualified(spark, path)).newest()["index"]) <= 2
+    assert rows(source.read_store(spark, path)) == rows(held)
+
+
+def test_written_is_not_yet_published(spark):
+    path = store(spark, [0])
+    written = sink.write_few(samples(spark, [3, 1]), path)
+    assert [r["shard_id"] for r in written.to_pylist()] == [1, 3] and len(data_files(path)) == 2
+    assert source.shards_between(spark, path, 0, 9) == [0] and source.read_store(spark, path, 0, 9).count() == 8
+    assert sink.publish_written(spark, written, path)["shard_id"].to_pylist() == [1, 3]
+    assert rows(source.read_store(spark, path, 0, 9)) == rows(samples(spark, [0, 1, 3]))
+    # More than a task may hold is left to be published as many are, and what has no shard is not published.
+    assert sink.write_few(samples(spark, [4, 5]), path, file_bytes=8 * 48)["file"].to_pylist() == [None, None] and len(data_files(path)) == 2
+    odd = samples(spark, [6]).withColumn("shard_id", F.when(F.col("pos_in_shard") > 2, F.col("shard_id")))
+    assert sink.publish_few(odd, path).select(["shard_id", "n"]).to_pylist() == [{"shard_id": 6, "n": 5}]
+
+
+def test_a_span_of_whole_files_needs_no_filter(spark):
+    path = store(spark, (0, 1, 2, 3), (4, 5), file_bytes=2 * 8 * 8 * 6)
+
+    def filtered(low, high):
+        span = source.read_store(spark, path, low, high)
+        assert rows(span) == rows(samples(spark, range(low, high + 1)))
+        return "Filter" in span._jdf.queryExecution().optimizedPlan().toString()
+
+    assert [filtered(*span) for span in ((0, 1), (2, 5), (4, 5), (1, 3), (2, 4), (1, 1))] == [False, False, False, True, True, True]
