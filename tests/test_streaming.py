@@ -180,3 +180,39 @@ def test_phases_are_logged_by_shard(spark, shards):
     assert [(r.shard_id, r.n, r.bytes) for r in log] == [(s, 8, 8 * 8 * 6) for s in range(6)]
     assert all(r.load_ms > 0 and r.train_ms > 0 and r.finish_us for r in log)
     assert spark.read.schema(LOG).parquet(f"{run}/work").count() == 6
+
+
+def test_rows_of_a_first_run_by_a_job_are_replaced(spark):
+    """A micro-batch that runs again may be logged by the driver where a job has logged it before."""
+    path = fresh_dir(spark, "log")
+    rows = spark.createDataFrame([(1, 2), (3, 4)], "shard_id bigint, n bigint")
+    S.append_log(rows, path, "r", 0)
+    S.append_rows(spark, rows.toArrow(), path, "r", 0)
+    assert sorted((r.shard_id, r.n) for r in spark.read.schema("shard_id bigint, n bigint").parquet(path).collect()) == [(1, 2), (3, 4)]
+
+
+def test_the_log_of_a_micro_batch_is_written_from_one_reading(spark):
+    """Rows of one partition come back with the log, so what else is said of its shards needs no second reading."""
+    samples, run = synth_uniform(spark, 3, 8, TINY), fresh_dir(spark, "run")
+    log = S.shard_log_handler(f"{run}/log", "r")
+    rows = log(samples.coalesce(1), 0)
+    assert sorted(rows["shard_id"].to_pylist()) == [0, 1, 2] and rows["n"].to_pylist() == [8, 8, 8]
+    assert log(samples.repartition(3), 1) is None
+    assert S.shard_log_handler(f"{run}/log", "r", few=True)(samples.repartition(3), 2).num_rows == 3
+    got = {}
+    for r in spark.read.schema(LOG).parquet(f"{run}/log").collect():
+        got.setdefault(r.batch_id, set()).add(tuple(r)[:5])
+    assert got[0] == got[1] == got[2] and len(got[0]) == 3
+
+
+def test_checkpoints_on_a_local_disk_are_written_the_plain_way(spark, monkeypatch):
+    from millrace import session
+
+    name, seen = session.CHECKPOINTS, []
+    with session.plain_checkpoints(spark, "file:/tmp/x"):
+        seen.append(spark.conf.get(name, None))
+    with session.plain_checkpoints(spark, "hdfs://far/x"):
+        seen.append(spark.conf.get(name, None))
+    with session._set(spark, name, "named"), session.plain_checkpoints(spark, "file:/tmp/x"):
+        seen.append(spark.conf.get(name, None))
+    assert seen == [session.PLAIN_CHECKPOINTS, None, "named"] and spark.conf.get(name, None) is None
